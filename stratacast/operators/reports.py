@@ -128,7 +128,7 @@ def run_summary(training: DataFrame, models: Sequence[str]) -> DataFrame:
     )
 
 
-def training_subset(training: DataFrame, ids: Sequence[str]) -> DataFrame:
+def training_subset(training: DataFrame, ids: DataFrame | Sequence[str]) -> DataFrame:
     """Rows of the wanted series; raises when none of them has data."""
     subset = restrict_universe(training, ids)
     if subset.isEmpty():

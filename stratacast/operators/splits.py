@@ -41,15 +41,17 @@ def cv_windows(df: DataFrame, n_windows: int, horizon: int, step_size: int) -> D
     """
     offsets = window_offsets(n_windows, step_size)
     age = F.col("_age")
-    ranked = df.withColumn("_age", rank_from_end())
-    cutoffs = [F.max(F.when(age == off + horizon + 1, F.col("ds"))).over(whole()) for off in offsets]
+    ranked = df.withColumn("_age", rank_from_end()).withColumns({
+        f"_cutoff{i}": F.max(F.when(age > off + horizon, F.col("ds"))).over(whole())
+        for i, off in enumerate(offsets)
+    })
     entries = [
         F.struct(
             F.lit(i).alias("window"),
             F.when(age > off + horizon, "train").when(age > off, "test").alias("role"),
-            cutoff.alias("cutoff"),
+            F.col(f"_cutoff{i}").alias("cutoff"),
         )
-        for i, (off, cutoff) in enumerate(zip(offsets, cutoffs))
+        for i, off in enumerate(offsets)
     ]
     fanned = ranked.withColumn("_entry", F.explode(F.array(*entries)))
     return (

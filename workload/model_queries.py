@@ -80,7 +80,7 @@ def _(spark, d):
     return lags.model_frame(training(spark, d))
 
 
-@query("G1_difference", f"{KEY} z:d", f"SELECT unique_id, ds, close - lag(close) OVER {W} AS z FROM panel")
+@query("G1_difference", f"{KEY} z:x", f"SELECT unique_id, ds, close - lag(close) OVER {W} AS z FROM panel")
 def _(spark, d):
     return scaling.difference(training(spark, d, "price"))
 
@@ -296,9 +296,7 @@ def _(spark, d):
 
 
 @query("K7_transfer_to_unseen", f"{KEY} step:i ridge:d", f"""
-    WITH RECURSIVE oz AS (SELECT * FROM ({scaled('order_y')})),
-    order_y AS (SELECT unique_id, ds, coalesce(ln(close / lag(close) OVER {W}), 0) AS y FROM order_panel),
-    path AS (
+    WITH RECURSIVE path AS (
       SELECT unique_id, 0 AS step, any_value(mean) AS mean, any_value(std) AS std,
              list(z ORDER BY ds) FILTER (WHERE age <= 5) AS h
       FROM (SELECT *, row_number() OVER (PARTITION BY unique_id ORDER BY ds DESC) AS age
@@ -306,8 +304,7 @@ def _(spark, d):
       UNION ALL SELECT unique_id, step + 1, mean, std, list_append(h[2:5], w0 + w1 * h[5] + w5 * h[1])
       FROM path, r_w WHERE step < 14)
     SELECT p.unique_id, f.ds, p.step, p.h[5] * p.std + p.mean AS ridge
-    FROM path p JOIN ({future_of('order_panel')}) f ON f.unique_id = p.unique_id AND f.step = p.step""".replace(
-        f"oz AS (SELECT * FROM ({scaled('order_y')})),\n    ", ""))
+    FROM path p JOIN ({future_of('order_panel')}) f ON f.unique_id = p.unique_id AND f.step = p.step""")
 def _(spark, d):
     models = fitting.fit(training(spark, d), ["ridge"], TWO_LAGS)
     unseen = training_frame(order_bars(spark, d))
@@ -368,7 +365,30 @@ def _(spark, d):
     return intervals.add_intervals(simple_ahead(panel).drop("step"), residuals, ["naive"], LEVELS)
 
 
-@query("K10_calibrated_forecast", " ".join([KEY, "ridge:d", *(f"{b}:d" for b in intervals.bound_names("ridge", LEVELS))]))
+def _priced(path, base):
+    """Price path of a ridge forecast from the last close of `base`."""
+    return f"""
+    SELECT a.unique_id, a.ds, a.step, c.close * exp(sum(a.ridge) OVER (PARTITION BY a.unique_id ORDER BY a.ds)) AS ridge
+    FROM {path} a JOIN (SELECT unique_id, arg_max(close, ds) AS close FROM {base} GROUP BY 1) c
+    ON c.unique_id = a.unique_id WHERE a.step > 0"""
+
+
+QUANTILES = ", ".join(
+    f'quantile_cont(v, {q}) AS "ridge-{side}-{level}"'
+    for level, low, high in ((80, 0.1, 0.9), (95, 0.025, 0.975)) for side, q in (("lo", low), ("hi", high))
+)
+
+
+@query("K10_calibrated_forecast", " ".join([KEY, "ridge:d", *(f"{b}:d" for b in intervals.bound_names("ridge", LEVELS))]), f"""
+    WITH res AS (
+      SELECT p.unique_id, p.step, abs(t.close - p.ridge) AS e
+      FROM ({_priced('c0_ahead', 'calibration0')} UNION ALL {_priced('c1_ahead', 'calibration1')}) p
+      JOIN training t ON t.unique_id = p.unique_id AND t.ds = p.ds),
+    point AS ({_priced('r_ahead', 'training')}),
+    reach AS (
+      SELECT p.*, p.ridge - r.e AS v FROM point p JOIN res r ON r.unique_id = p.unique_id AND r.step = p.step
+      UNION ALL SELECT p.*, p.ridge + r.e FROM point p JOIN res r ON r.unique_id = p.unique_id AND r.step = p.step)
+    SELECT unique_id, ds, any_value(ridge) AS ridge, {QUANTILES} FROM reach GROUP BY 1, 2""")
 def _(spark, d):
     panel = training(spark, d)
     residuals = crossval.calibrate(panel, ["ridge"], design=TWO_LAGS)
@@ -412,7 +432,7 @@ def _(spark, d):
 
 @query("K14_boosting_rounds", f"{KEY} lgbm:d")
 def _(spark, d):
-    _, ahead = crossval.select_boosting_rounds(training(spark, d), rounds=(2, 4), overrides={"maxDepth": 3})
+    _, ahead = crossval.select_boosting_rounds(training(spark, d), rounds=(1, 2), overrides={"maxDepth": 2})
     return ahead
 
 

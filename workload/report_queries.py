@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stratacast.operators import ensemble, metrics, reports
 from stratacast.operators.targets import last_prices, reconstruct_prices
 from workload.fixtures import (
-    SIMPLE, companies, customer_days, simple_ahead, simple_cv, simple_fit, training, universe,
+    SIMPLE, companies, customer_days, sectors, simple_ahead, simple_cv, simple_fit, training, universe,
 )
 from workload.registry import query
 from workload.views import W
@@ -155,9 +155,9 @@ def _(spark, d):
     )
 
 
-@query("M12_training_subset", f"{KEY} y:d", "SELECT * FROM training WHERE unique_id IN ('NATION_1', 'NATION_2')")
+@query("M12_training_subset", f"{KEY} y:d", "SELECT * FROM training WHERE sector = 'ASIA'")
 def _(spark, d):
-    return reports.training_subset(training(spark, d), ["NATION_1", "NATION_2"])
+    return reports.training_subset(training(spark, d), sectors(spark, d).filter("sector = 'ASIA'"))
 
 
 @query("M13_aligned_lines", f"{KEY} actual:d predicted:d forecast:d", f"""

@@ -75,8 +75,12 @@ def scaled(source: str, c: str = "y") -> str:
       FROM {source})"""
 
 
-def ridge_of(p: str, source: str) -> dict[str, str]:
-    """Ridge on lags 1 and 5 of the scaled target, by its normal equations, and its 14-step path."""
+def ridge_of(p: str, source: str, weights: str = "") -> dict[str, str]:
+    """Ridge on lags 1 and 5 of the scaled target, by its normal equations, and its 14-step path.
+
+    `weights` names another fit whose weights the path uses instead.
+    """
+    used = weights or f"{p}_w"
     return {
         f"{p}_z": f"""
     SELECT *, lag(z, 1) OVER {W} AS x1, lag(z, 5) OVER {W} AS x5 FROM ({scaled(source)})""",
@@ -99,7 +103,7 @@ def ridge_of(p: str, source: str) -> dict[str, str]:
     FROM (SELECT *, row_number() OVER (PARTITION BY unique_id ORDER BY ds DESC) AS age FROM {p}_z) GROUP BY unique_id
     UNION ALL
     SELECT unique_id, step + 1, last_ds, mean, std, list_append(h[2:5], w0 + w1 * h[5] + w5 * h[1])
-    FROM {p}_path, {p}_w WHERE step < 14""",
+    FROM {p}_path, {used} WHERE step < 14""",
         f"{p}_ahead": f"""
     SELECT p.unique_id, p.step, f.ds, p.h[5] * p.std + p.mean AS ridge
     FROM {p}_path p JOIN ({future_of(source)}) f ON f.unique_id = p.unique_id AND f.step = p.step""",
@@ -213,6 +217,9 @@ for fold in (0, 1):
     VIEWS[f"fold{fold}"] = f"""SELECT unique_id, ds, y, close FROM splits WHERE "window" = {fold} AND role = 'train'"""
     VIEWS |= ridge_of(f"r{fold}", f"fold{fold}")
 VIEWS |= ridge_of("r", "training")
+for fold, age in ((0, 28), (1, 14)):
+    VIEWS[f"calibration{fold}"] = f"SELECT unique_id, ds, y, close FROM aged WHERE age > {age}"
+VIEWS |= ridge_of("c0", "calibration0") | ridge_of("c1", "calibration1", weights="c0_w")
 VIEWS["universe"] = "SELECT c_custkey AS position, lower(c_name) || '.us' AS ticker FROM customer"
 VIEWS["companies"] = """
     SELECT upper(c_name) AS ticker, c_name AS name, n_name AS sector
