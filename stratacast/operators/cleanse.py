@@ -12,9 +12,13 @@ from stratacast.schemas import BAR_VALUES, KEYS
 
 
 def normalize_keys(df: DataFrame) -> DataFrame:
-    """Dates without time of day (bad ones raise) and upper-case ids."""
+    """Dates without time of day (bad ones raise) and upper-case ids.
+
+    A missing id becomes a blank one, which row validation rejects; ids that
+    are never NULL also spare every later join a null filter.
+    """
     return df.withColumns({
-        "unique_id": F.upper(F.col("unique_id").cast("string")),
+        "unique_id": F.upper(F.coalesce(F.col("unique_id").cast("string"), F.lit(""))),
         "ds": F.col("ds").cast("date"),
     })
 
@@ -52,10 +56,14 @@ def deduplicate(
     )
 
 
+def traded_rows(df: DataFrame) -> DataFrame:
+    """Raw rows of any bar source, typed, complete and traded, copies still in."""
+    return keep_traded(drop_incomplete(coerce_numeric(normalize_keys(df))))
+
+
 def cleanse(df: DataFrame) -> DataFrame:
     """Raw rows of any bar source to unique, complete, traded daily bars."""
-    typed = coerce_numeric(normalize_keys(df))
-    return deduplicate(keep_traded(drop_incomplete(typed)))
+    return deduplicate(traded_rows(df))
 
 
 def _filled(name: str) -> Column:

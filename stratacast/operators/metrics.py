@@ -49,4 +49,5 @@ def summarize_cv(cv: DataFrame, models: Sequence[str]) -> DataFrame:
 
 def best_model(summary: DataFrame) -> DataFrame:
     """One row: the model with the lowest smape, NULL when there is none."""
-    return summary.agg(F.min_by("model", F.struct("smape", "model")).alias("best_model"))
+    scored = summary.filter("smape is not null")
+    return scored.agg(F.min_by("model", F.struct("smape", "model")).alias("best_model"))

@@ -6,7 +6,6 @@ row and column sampling, leaf size and round count those names stand for.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
@@ -38,22 +37,23 @@ def label_stats(matrix: DataFrame) -> LabelStats:
     return LabelStats(seen["n"], seen["s"] or 1.0)
 
 
+# The normal-equation solver reads the data once however many iterations it needs.
+# Constant features make it iterate, so it is told to go on to full precision.
+SOLVER = {"solver": "normal", "standardization": False, "maxIter": 10000, "tol": 1e-12}
+
+
 def ridge(seed: int, stats: LabelStats, **overrides) -> Estimator:
     # Spark divides the label by its deviation, so the penalty per row is scaled back by it
-    return LinearRegression(
-        elasticNetParam=0.0, standardization=False, solver="normal",
-        regParam=RIDGE_ALPHA * stats.spread / stats.rows, **overrides,
-    )
+    penalty = RIDGE_ALPHA * stats.spread / stats.rows
+    return LinearRegression(**{**SOLVER, "elasticNetParam": 0.0, "regParam": penalty, **overrides})
 
 
 def elastic_net(seed: int, stats: LabelStats, **overrides) -> Estimator:
     # the same label scaling leaves the L1 part alone and divides the L2 part
-    sample_spread = stats.spread * math.sqrt(stats.rows / max(stats.rows - 1, 1))
     lasso = ENET_ALPHA * ENET_L1_RATIO
-    square = ENET_ALPHA * (1 - ENET_L1_RATIO) * sample_spread
+    square = ENET_ALPHA * (1 - ENET_L1_RATIO) * stats.spread
     return LinearRegression(**{
-        "regParam": lasso + square, "elasticNetParam": lasso / (lasso + square),
-        "standardization": False, "solver": "l-bfgs", "maxIter": 10000, "tol": 1e-9, **overrides,
+        **SOLVER, "regParam": lasso + square, "elasticNetParam": lasso / (lasso + square), **overrides,
     })
 
 

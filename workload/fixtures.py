@@ -12,6 +12,8 @@ from stratacast.plans.design import Design
 from stratacast.plans.training import training_frame
 from stratacast.schemas import LagSpec
 from stratacast.sources.bars import nation_bars, nation_directory
+from stratacast.sources.scratch import new_folder
+from stratacast.sources.tables import load_table, save_table
 
 SIMPLE = ["naive", "mean5"]
 NO_LAGS = LagSpec((), (), (), (), (), (), ())
@@ -29,7 +31,14 @@ def sectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def training(spark: SparkSession, folder: str, target_type: str = "log_return") -> DataFrame:
-    return training_frame(nation_bars(spark, folder), sectors(spark, folder), target_type)
+    return training_frame(nation_bars(spark, folder), sectors(spark, folder), target_type, unique=True)
+
+
+def stored_training(spark: SparkSession, folder: str) -> DataFrame:
+    """The training frame written and read back, for queries that pass over it many times."""
+    path = new_folder(spark, "training")
+    save_table(training(spark, folder), path)
+    return load_table(spark, path)
 
 
 def quotes(spark: SparkSession, folder: str) -> DataFrame:

@@ -22,7 +22,7 @@ from stratacast.sources.scratch import new_folder
 from stratacast.streaming.updates import merge_observations, refresh_state
 from workload.fixtures import (
     MONTH_END, ONE_LAG, SIMPLE, TWO_LAGS, customer_days, sectors, simple_ahead, simple_cv, simple_fit,
-    training, universe,
+    stored_training, training, universe,
 )
 from workload.registry import query
 from workload.views import W, calendar_of, future_of, scaled
@@ -175,7 +175,7 @@ RIDGE_TERMS = """
 
 @query("J1_ridge", "model term value:d", RIDGE_TERMS)
 def _(spark, d):
-    return _coefficients(spark, fitting.fit(training(spark, d), ["ridge"], TWO_LAGS))
+    return _coefficients(spark, fitting.fit(stored_training(spark, d), ["ridge"], TWO_LAGS))
 
 
 @query("J2_elastic_net", "model term value:d", f"""
@@ -185,12 +185,12 @@ def _(spark, d):
     SELECT 'enet' AS model, 'intercept' AS term, mz - w1 * mx AS value FROM w
     UNION ALL SELECT 'enet', 'lag1', w1 FROM w""")
 def _(spark, d):
-    return _coefficients(spark, fitting.fit(training(spark, d), ["enet"], ONE_LAG))
+    return _coefficients(spark, fitting.fit(stored_training(spark, d), ["enet"], ONE_LAG))
 
 
 @query("J3_huber", "model term value:d")
 def _(spark, d):
-    return _coefficients(spark, fitting.fit(training(spark, d), ["sgd"], TWO_LAGS))
+    return _coefficients(spark, fitting.fit(stored_training(spark, d), ["sgd"], TWO_LAGS))
 
 
 # With one two-valued feature and one tree, every tree model predicts its group means.
@@ -204,7 +204,7 @@ def _tree_query(name):
     one = {"numTrees": 1, "bootstrap": False, "featureSubsetStrategy": "all"} if name == "rf" else ONE_TREE
 
     def build(spark, d):
-        panel = training(spark, d)
+        panel = stored_training(spark, d)
         models = fitting.fit(panel, [name], MONTH_END, overrides={name: one})
         return fitting.fitted_values(panel, models, MONTH_END).withColumnRenamed(name, "value")
     return build
@@ -219,7 +219,7 @@ for number, name, label in (
 
 @query("K1_fit", "model term value:d", RIDGE_TERMS)
 def _(spark, d):
-    models = fitting.fit(training(spark, d), ["ridge", "enet", "sgd"], TWO_LAGS)
+    models = fitting.fit(stored_training(spark, d), ["ridge", "enet", "sgd"], TWO_LAGS)
     return _coefficients(spark, {"ridge": models["ridge"]})
 
 
@@ -244,7 +244,7 @@ def _(spark, d):
 
 @query("K4_fitted_values", f"{KEY} ridge:d", "SELECT * FROM r_fit")
 def _(spark, d):
-    panel = training(spark, d)
+    panel = stored_training(spark, d)
     return fitting.fitted_values(panel, fitting.fit(panel, ["ridge"], TWO_LAGS), TWO_LAGS)
 
 
@@ -266,14 +266,14 @@ def _(spark, d):
 
 @query("K5_recursive_ridge", f"{KEY} ridge:d", "SELECT unique_id, ds, ridge FROM r_ahead WHERE step > 0")
 def _(spark, d):
-    panel = training(spark, d)
+    panel = stored_training(spark, d)
     models = fitting.fit(panel, ["ridge"], TWO_LAGS)
     return forecasting.forecast(panel, models, design=TWO_LAGS, return_prices=False)
 
 
 @query("K5_forecast_all_features", f"{KEY} ridge:d gb:d ensemble_mean:d")
 def _(spark, d):
-    panel = training(spark, d)
+    panel = stored_training(spark, d)
     models = fitting.fit(panel, ["ridge", "gb"], overrides=SMALL)
     return forecasting.forecast(panel, models)
 
@@ -282,7 +282,7 @@ def _(spark, d):
     SELECT a.unique_id, a.ds, l.close * exp(sum(a.ridge) OVER (PARTITION BY a.unique_id ORDER BY a.ds)) AS ridge
     FROM r_ahead a JOIN last_rows l ON l.unique_id = a.unique_id WHERE a.step > 0 AND l.sector = 'ASIA'""")
 def _(spark, d):
-    panel = training(spark, d)
+    panel = stored_training(spark, d)
     models = fitting.fit(panel, ["ridge"], TWO_LAGS)
     wanted = sectors(spark, d).filter("sector = 'ASIA'")
     return forecasting.forecast(panel, models, ids=wanted, design=TWO_LAGS)
@@ -306,8 +306,8 @@ def _(spark, d):
     SELECT p.unique_id, f.ds, p.step, p.h[5] * p.std + p.mean AS ridge
     FROM path p JOIN ({future_of('order_panel')}) f ON f.unique_id = p.unique_id AND f.step = p.step""")
 def _(spark, d):
-    models = fitting.fit(training(spark, d), ["ridge"], TWO_LAGS)
-    unseen = training_frame(order_bars(spark, d))
+    models = fitting.fit(stored_training(spark, d), ["ridge"], TWO_LAGS)
+    unseen = training_frame(order_bars(spark, d), unique=True)
     rows = future.future_per_series(unseen, 14)
     return recursive.forecast_targets(recursive.series_state(unseen, TWO_LAGS), rows, models, 14, TWO_LAGS)
 
@@ -325,7 +325,7 @@ ASIA_ORDERS = f"""
 
 
 def _updates(spark, d):
-    panel = training_frame(order_bars(spark, d), sectors(spark, d))
+    panel = training_frame(order_bars(spark, d), sectors(spark, d), unique=True)
     return panel.filter("sector = 'ASIA'").select("unique_id", "ds", "y")
 
 
@@ -390,7 +390,7 @@ QUANTILES = ", ".join(
       UNION ALL SELECT p.*, p.ridge + r.e FROM point p JOIN res r ON r.unique_id = p.unique_id AND r.step = p.step)
     SELECT unique_id, ds, any_value(ridge) AS ridge, {QUANTILES} FROM reach GROUP BY 1, 2""")
 def _(spark, d):
-    panel = training(spark, d)
+    panel = stored_training(spark, d)
     residuals = crossval.calibrate(panel, ["ridge"], design=TWO_LAGS)
     models = fitting.fit(panel, ["ridge"], TWO_LAGS)
     return forecasting.forecast(panel, models, design=TWO_LAGS, residuals=residuals)
@@ -413,32 +413,32 @@ FOLD_ROWS = " UNION ALL ".join(
 
 @query("K12_cross_validation", f"{KEY} cutoff y:d ridge:d", FOLD_ROWS)
 def _(spark, d):
-    return crossval.cross_validate(training(spark, d), ["ridge"], design=TWO_LAGS)[0]
+    return crossval.cross_validate(stored_training(spark, d), ["ridge"], design=TWO_LAGS)[0]
 
 
 @query("K12_cross_validation_summary", "model smape:d wape:d", f"""
     SELECT 'ridge' AS model, avg(abs(y - ridge) / CASE WHEN abs(y) + abs(ridge) = 0 THEN 1 ELSE (abs(y) + abs(ridge)) / 2 END) * 100 AS smape,
            sum(abs(y - ridge)) / sum(abs(y)) * 100 AS wape FROM ({FOLD_ROWS})""")
 def _(spark, d):
-    cv, _ = crossval.cross_validate(training(spark, d), ["ridge"], design=TWO_LAGS)
+    cv, _ = crossval.cross_validate(stored_training(spark, d), ["ridge"], design=TWO_LAGS)
     return metrics.summarize_cv(cv, ["ridge"])
 
 
 @query("K13_cv_fitted_values", f"{KEY} fold:i ridge:d",
        "SELECT *, 0 AS fold FROM r0_fit UNION ALL SELECT *, 1 FROM r1_fit")
 def _(spark, d):
-    return crossval.cross_validate(training(spark, d), ["ridge"], design=TWO_LAGS, with_fitted=True)[1]
+    return crossval.cross_validate(stored_training(spark, d), ["ridge"], design=TWO_LAGS, with_fitted=True)[1]
 
 
 @query("K14_boosting_rounds", f"{KEY} lgbm:d")
 def _(spark, d):
-    _, ahead = crossval.select_boosting_rounds(training(spark, d), rounds=(1, 2), overrides={"maxDepth": 2})
+    _, ahead = crossval.select_boosting_rounds(stored_training(spark, d), rounds=(1, 2), overrides={"maxDepth": 2})
     return ahead
 
 
 @query("K15_save_and_load", f"{KEY} ridge:d", "SELECT unique_id, ds, ridge FROM r_ahead WHERE step > 0")
 def _(spark, d):
-    panel = training(spark, d)
+    panel = stored_training(spark, d)
     models = fitting.fit(panel, ["ridge"], TWO_LAGS)
     codes = panel.select("sector", "sector_code").distinct()
     folder = persistence.save_models(
