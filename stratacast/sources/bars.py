@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratacast.schemas import BAR_COLUMNS
+
 INTERVALS = {"d": "day", "w": "week", "m": "month"}
 
 
@@ -22,18 +24,16 @@ def transactions_to_bars(
     price: Column,
     size: Column,
     order: Sequence[str],
-    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """One bar per (unique_id, day); `keep` columns must depend on the id alone."""
+    """One bar per (unique_id, day)."""
     ranked = df.select(
         unique_id.alias("unique_id"),
         day.cast("date").alias("ds"),
         price.alias("_price"),
         size.cast("double").alias("_size"),
         F.struct(*order, price.alias("_price")).alias("_at"),
-        *keep,
     )
-    return ranked.groupBy("unique_id", "ds", *keep).agg(
+    return ranked.groupBy("unique_id", "ds").agg(
         F.min("_at")["_price"].alias("open"),
         F.max("_price").alias("high"),
         F.min("_price").alias("low"),
@@ -51,22 +51,28 @@ LINE_ORDER = [
 ]
 
 
+def _named(bars: DataFrame, nation: DataFrame) -> DataFrame:
+    """Bars keyed by nation number to bars keyed by nation name.
+
+    The dimension joins after the aggregation, when a row stands for a whole
+    day of trades and the fact rows were grouped on an integer.
+    """
+    named = bars.join(nation, F.col("unique_id") == F.col("n_nationkey"))
+    return named.withColumn("unique_id", F.upper("n_name"))
+
+
 def nation_bars(spark: SparkSession, folder: str, with_sector: bool = False) -> DataFrame:
     """Line items as trades of their supplier's nation; the region is the sector."""
     lines, supplier, nation, region = _tables(spark, folder, "lineitem", "supplier", "nation", "region")
-    joined = (
-        lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    )
-    keep = []
-    if with_sector:
-        joined = joined.join(region, F.col("n_regionkey") == F.col("r_regionkey")).withColumn(
-            "sector", F.col("r_name")
-        )
-        keep = ["sector"]
-    return transactions_to_bars(
-        joined, F.upper("n_name"), F.col("l_shipdate"),
-        F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_quantity"), LINE_ORDER, keep,
+    bars = _named(transactions_to_bars(
+        lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")),
+        F.col("s_nationkey"), F.col("l_shipdate"),
+        F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_quantity"), LINE_ORDER,
+    ), nation)
+    if not with_sector:
+        return bars.select(*BAR_COLUMNS)
+    return bars.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        *BAR_COLUMNS, F.col("r_name").alias("sector")
     )
 
 
@@ -82,12 +88,10 @@ def brand_bars(spark: SparkSession, folder: str) -> DataFrame:
 def order_bars(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as trades of their customer's nation; volume counts orders."""
     orders, customer, nation = _tables(spark, folder, "orders", "customer", "nation")
-    joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(
-        nation, F.col("c_nationkey") == F.col("n_nationkey")
-    )
-    return transactions_to_bars(
-        joined, F.upper("n_name"), F.col("o_orderdate"), F.col("o_totalprice"), F.lit(1.0), ["o_orderkey"],
-    )
+    return _named(transactions_to_bars(
+        orders.join(customer, F.col("o_custkey") == F.col("c_custkey")),
+        F.col("c_nationkey"), F.col("o_orderdate"), F.col("o_totalprice"), F.lit(1.0), ["o_orderkey"],
+    ), nation).select(*BAR_COLUMNS)
 
 
 def event_bars(spark: SparkSession, folder: str) -> DataFrame:
