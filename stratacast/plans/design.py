@@ -7,8 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratacast.functions.calendar import add_calendar_features, add_date_features
+from stratacast.functions.calendar import (
+    add_calendar_features, add_date_features, next_business_days,
+)
 from stratacast.functions.series import lagged
+from stratacast.operators.future import TECHNICAL_DEFAULTS
 from stratacast.operators.lags import add_lag_features, drop_warm_up, feature_matrix
 from stratacast.operators.scaling import scale_in_place
 from stratacast.schemas import (
@@ -48,10 +51,6 @@ class Design:
         return self.lag_spec.lookback + (1 if self.differenced else 0)
 
 
-def exogenous_of(design: Design, columns: list[str]) -> list[str]:
-    return [c for c in design.exogenous if c in columns]
-
-
 def shifted_technical(df: DataFrame, design: Design) -> DataFrame:
     """Technical features as known `technical_shift` rows earlier.
 
@@ -93,12 +92,28 @@ def training_matrix(panel: DataFrame, design: Design) -> DataFrame:
     return feature_matrix(with_model_features(panel, design), design.features, "z")
 
 
-def future_exogenous(future: DataFrame, statics: DataFrame, design: Design) -> DataFrame:
-    """Everything but the lags for rows to be predicted.
+def series_ends(history: DataFrame, design: Design) -> DataFrame:
+    """One row per series: last_ds, last_price, and the last day's technical and static values."""
+    held = [c for c in (*TECHNICAL_COLUMNS, *MODEL_STATICS) if c in design.exogenous and c in history.columns]
+    price = ["close"] if "close" in history.columns else []
+    last = F.max_by(F.struct(F.lit(0), *price, *held), F.col("ds"))
+    ends = history.groupBy("unique_id").agg(F.max("ds").alias("last_ds"), last.alias("_last"))
+    return ends.select(
+        "unique_id", "last_ds",
+        *(F.col("_last")[c].alias("last_price") for c in price),
+        *(F.col("_last")[c].alias(c) for c in held),
+    )
+
+
+def future_rows(ends: DataFrame, horizon: int, design: Design) -> DataFrame:
+    """The next business days of each series with all exogenous values.
 
-    `future` holds (unique_id, ds) and held technical features; `statics` has
-    one row per series.
+    Calendar and date features follow from the day; technical ones stay as on
+    the last day. The history is read once, in `series_ends`, and no join follows.
     """
-    dated = add_date_features(add_calendar_features(future))
-    fixed = [c for c in MODEL_STATICS if c in design.exogenous]
-    return dated.join(statics.select("unique_id", *fixed), "unique_id") if fixed else dated
+    held = {
+        c: F.coalesce(c, F.lit(TECHNICAL_DEFAULTS[c])) for c in TECHNICAL_COLUMNS if c in ends.columns
+    }
+    days = F.explode(next_business_days(F.col("last_ds"), horizon)).alias("ds")
+    rows = ends.select(*(c for c in ends.columns if c not in ("last_ds", "last_price")), days)
+    return add_date_features(add_calendar_features(rows.withColumns(held) if held else rows))

@@ -6,15 +6,12 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Model
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from stratacast.operators.ensemble import add_ensemble
-from stratacast.operators.future import future_per_series, hold_technical
 from stratacast.operators.intervals import add_intervals
-from stratacast.operators.targets import last_prices, reconstruct_prices
-from stratacast.plans.design import Design, future_exogenous
+from stratacast.operators.targets import reconstruct_prices
+from stratacast.plans.design import Design, future_rows, series_ends
 from stratacast.plans.recursive import forecast_targets, series_state
-from stratacast.schemas import MODEL_STATICS, TECHNICAL_COLUMNS
 from stratacast.sources.tables import restrict_universe
 
 
@@ -31,16 +28,6 @@ def require_history(requested: DataFrame, history: DataFrame) -> None:
         raise ValueError(f"cannot forecast series without history: {', '.join(absent)}")
 
 
-def future_rows(history: DataFrame, horizon: int, design: Design) -> DataFrame:
-    """The rows to predict, with every feature known in advance or held."""
-    future = future_per_series(history, horizon).select("unique_id", "ds")
-    if any(c in TECHNICAL_COLUMNS for c in design.exogenous):
-        future = hold_technical(future, history)
-    fixed = [c for c in MODEL_STATICS if c in design.exogenous]
-    statics = history.groupBy("unique_id").agg(*(F.first(c).alias(c) for c in fixed)) if fixed else history
-    return future_exogenous(future, statics, design)
-
-
 def forecast(
     history: DataFrame,
     models: Mapping[str, Model],
@@ -59,11 +46,12 @@ def forecast(
     held exogenous rows.
     """
     known = restrict_universe(history, ids)
-    rows = future_rows(known, horizon, design) if future is None else future
+    ends = series_ends(known, design)
+    rows = future_rows(ends, horizon, design) if future is None else future
     wide = forecast_targets(series_state(known, design), rows, models, horizon, design).drop("step")
     names = list(models)
     if return_prices:
-        wide = reconstruct_prices(wide, last_prices(known), names, design.target_type)
+        wide = reconstruct_prices(wide, ends, names, design.target_type)
     if residuals is not None:
         wide = add_intervals(wide, residuals, names, levels)
     return add_ensemble(wide, names)

@@ -39,7 +39,7 @@ def label_stats(matrix: DataFrame) -> LabelStats:
 
 # The normal-equation solver reads the data once however many iterations it needs.
 # Constant features make it iterate, so it is told to go on to full precision.
-SOLVER = {"solver": "normal", "standardization": False, "maxIter": 10000, "tol": 1e-12}
+SOLVER = {"solver": "normal", "standardization": False, "maxIter": 10000, "tol": 1e-14}
 
 
 def ridge(seed: int, stats: LabelStats, **overrides) -> Estimator:

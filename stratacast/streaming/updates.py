@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from stratacast.operators.cleanse import deduplicate
 from stratacast.plans.design import Design
 from stratacast.plans.recursive import series_state
+from stratacast.schemas import KEYS
 
 
 def merge_observations(history: DataFrame, latest: DataFrame) -> DataFrame:
-    """Union of both, a new row replacing an old one of the same series and day."""
-    aged = history.withColumn("_source", F.lit(1)).unionByName(latest.withColumn("_source", F.lit(0)))
-    return deduplicate(aged, order_by=["_source"]).drop("_source")
+    """Union of both, a new row replacing an old one of the same series and day.
+
+    Only the keys of `latest` meet the history, in an anti join that Spark
+    broadcasts when the update is small, so a daily update does not shuffle
+    the whole history.
+    """
+    fresh = deduplicate(latest, order_by=[c for c in latest.columns if c not in KEYS])
+    kept = history.join(fresh.select(*KEYS), KEYS, "left_anti")
+    return kept.unionByName(fresh)
 
 
 def refresh_state(

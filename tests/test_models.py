@@ -6,14 +6,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratacast.operators import lags, scaling, splits
-from stratacast.operators.future import future_per_series, require_future
+from stratacast.operators.future import future_per_series, hold_technical, require_future
 from stratacast.plans import crossval, fitting, forecasting, persistence, recursive
-from stratacast.plans.design import Design, training_matrix, with_model_features
+from stratacast.plans.design import (
+    Design, future_rows, series_ends, training_matrix, with_model_features,
+)
 from stratacast.plans.full_run import full_run
 from stratacast.plans.models import FACTORIES, build, label_stats, models_of
 from stratacast.plans.scorers import LinearScorer, portable
 from stratacast.plans.training import training_frame
-from stratacast.schemas import LagSpec, Settings
+from stratacast.schemas import TECHNICAL_COLUMNS, LagSpec, Settings
 from stratacast.streaming.updates import merge_observations, refresh_state
 
 SMALL = {"rf": {"numTrees": 4, "maxDepth": 4}, "gb": {"maxIter": 3, "maxDepth": 3}, "lgbm": {"maxDepth": 2}}
@@ -90,14 +92,31 @@ def test_scaling_round_trip_and_flat_series(spark):
     assert back.count() == 0
 
 
-def test_ridge_equals_the_closed_form(panel):
-    model = fitting.fit(panel, ["ridge"])["ridge"]
-    m = training_matrix(panel, Design()).toPandas()
+def ridge_problem(panel, design):
+    m = training_matrix(panel, design).toPandas()
     x, y = np.stack([v.toArray() for v in m["features"]]), m["label"].to_numpy()
     xc, yc = x - x.mean(0), y - y.mean()
-    w = np.linalg.solve(xc.T @ xc + np.eye(x.shape[1]), xc.T @ yc)
-    assert np.allclose(model.coefficients.toArray(), w, atol=1e-5)
-    assert model.intercept == pytest.approx(y.mean() - x.mean(0) @ w, abs=1e-5)
+    return xc, yc, np.linalg.solve(xc.T @ xc + np.eye(x.shape[1]), xc.T @ yc)
+
+
+def test_ridge_equals_the_closed_form(panel):
+    # the fixture's panel has one sector, one asset class and no weekends
+    constant = {"is_weekend", "sector_code", "asset_class_code"}
+    design = Design(exogenous=tuple(c for c in Design().exogenous if c not in constant))
+    model = fitting.fit(panel, ["ridge"], design)["ridge"]
+    assert np.allclose(model.coefficients.toArray(), ridge_problem(panel, design)[2], atol=1e-9)
+
+
+def test_ridge_with_constant_features_reaches_the_optimum(panel):
+    """Constant features make the solver iterate: same optimum, fewer exact digits."""
+    xc, yc, best = ridge_problem(panel, Design())
+    got = fitting.fit(panel, ["ridge"])["ridge"].coefficients.toArray()
+
+    def objective(w):
+        return ((yc - xc @ w) ** 2).sum() + (w ** 2).sum()
+
+    assert objective(got) == pytest.approx(objective(best), rel=1e-9)
+    assert np.allclose(xc @ got, xc @ best, atol=1e-4)
 
 
 def test_elastic_net_minimises_its_objective(panel):
@@ -208,6 +227,17 @@ def test_series_end_on_their_own_dates(spark, panel):
     assert {r["ds"] for r in starts if r["unique_id"] == "AAPL.US"} == {dt.date(2023, 9, 1)}
 
 
+def test_future_rows_equal_the_separate_operators(panel):
+    design = Design()
+    rows = future_rows(series_ends(panel, design), 14, design)
+    joined = hold_technical(future_per_series(panel, 14), panel)
+    order = ["unique_id", "ds"]
+    a = rows.orderBy(*order).select(*order, *TECHNICAL_COLUMNS).toPandas()
+    b = joined.orderBy(*order).select(*order, *TECHNICAL_COLUMNS).toPandas()
+    pd.testing.assert_frame_equal(a, b)
+    assert rows.filter("week_of_year is null or sector_code is null or quarter is null").count() == 0
+
+
 def test_short_history_forecasts_with_zero_filled_features(panel, models):
     few = panel.filter("ds < '2023-01-10'")
     wide = forecasting.forecast(few, models, 4).toPandas()
@@ -271,7 +301,7 @@ def test_saved_models_forecast_the_same(spark, panel, models, tmp_path):
     )
     saved = persistence.load_models(spark, folder)
     assert saved.design == design and set(saved.models) == set(models)
-    future = forecasting.future_rows(panel, 3, design)
+    future = future_rows(series_ends(panel, design), 3, design)
     a = recursive.forecast_targets(saved.state, future, saved.models, 3, saved.design).toPandas()
     b = recursive.forecast_targets(recursive.series_state(panel, design), future, models, 3, design).toPandas()
     order = ["unique_id", "step"]

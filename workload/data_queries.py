@@ -6,18 +6,17 @@ from pyspark.sql import functions as F
 
 from stratacast.functions.calendar import add_calendar_features, add_date_features
 from stratacast.operators import cleanse, regular, statics, targets, technical
-from stratacast.plans.training import training_frame
-from stratacast.schemas import BAR_VALUES, PRICES, TECHNICAL_COLUMNS
+from stratacast.schemas import BAR_VALUES, TECHNICAL_COLUMNS
 from stratacast.sources import price_files, symbols, tables
 from stratacast.sources.bars import (
-    brand_bars, event_bars, nation_bars, nation_directory, order_bars, resample_bars,
+    brand_bars, event_bars, nation_bars, order_bars, resample_bars,
 )
 from stratacast.sources.scratch import new_folder
 from workload.fixtures import (
-    SIMPLE, customer_days, quotes, sectors, simple_ahead, simple_fit, table, training, universe,
+    SIMPLE, quotes, sectors, simple_ahead, simple_fit, table, training, universe,
 )
 from workload.registry import query
-from workload.views import W, bars_of
+from workload.views import W
 
 KEY = "unique_id ds"
 BAR = f"{KEY} open:x high:x low:x close:x volume:d"

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratacast.functions.series import in_order, lagged, rank_from_end
+from stratacast.functions.series import in_order, lagged
 from stratacast.operators.future import future_per_series
 from stratacast.operators.splits import cv_windows
 from stratacast.plans.design import Design

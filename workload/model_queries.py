@@ -8,11 +8,9 @@ from pyspark.sql import functions as F
 
 from stratacast.functions.series import lagged
 from stratacast.operators import ensemble, future, intervals, lags, metrics, scaling, splits
-from stratacast.operators.cleanse import deduplicate
 from stratacast.operators.regular import regularize
-from stratacast.operators.targets import last_prices, reconstruct_prices
+from stratacast.operators.targets import last_prices
 from stratacast.plans import crossval, fitting, forecasting, persistence, recursive
-from stratacast.plans.design import Design
 from stratacast.plans.full_run import full_run
 from stratacast.plans.scorers import LinearScorer
 from stratacast.plans.training import training_frame
@@ -25,7 +23,7 @@ from workload.fixtures import (
     stored_training, training, universe,
 )
 from workload.registry import query
-from workload.views import W, calendar_of, future_of, scaled
+from workload.views import W, future_of, scaled
 
 KEY = "unique_id ds"
 SMALL = {"gb": {"maxIter": 3, "maxDepth": 3}, "lgbm": {"maxDepth": 3}}
