@@ -34,7 +34,7 @@ from stratacast.llm.common import Scratch, components
 from stratacast.llm.words import LOWER, distinct_sets, hash_words, mix, shingles, text_slices
 
 BLOCK = 1024
-SKETCH = 512
+SKETCH = 1024
 HUBS = 3
 BEST = 4
 #: Standard deviations below the threshold at which a sketch still counts as close.
