@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stratacast.llm.common import documents
 from stratacast.llm.decontaminate import contained_items
+from stratacast.llm.language import languages
 from stratacast.llm.near_duplicates import near_duplicates
 from stratacast.llm.packing import packed
 from stratacast.llm.repeated_passages import repeated_passages
@@ -106,3 +107,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     root = new_root(spark)
     write_token_files(documents(spark, folder), root, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return read_token_files(spark, root)
+
+
+@query("op3_language")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return languages(documents(spark, folder))
