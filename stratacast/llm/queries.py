@@ -14,6 +14,7 @@ from stratacast.llm.near_duplicates import near_duplicates
 from stratacast.llm.packing import packed
 from stratacast.llm.repeated_passages import repeated_passages
 from stratacast.llm.token_files import new_root, read_token_files, write_token_files
+from stratacast.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,3 +113,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_language")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return languages(documents(spark, folder))
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(documents(spark, folder), table(spark, folder, "labels"))
