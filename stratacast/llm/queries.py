@@ -13,6 +13,8 @@ from stratacast.llm.language import languages
 from stratacast.llm.near_duplicates import near_duplicates
 from stratacast.llm.packing import packed
 from stratacast.llm.repeated_passages import repeated_passages
+from stratacast.llm.secrets import scan_secrets
+from stratacast.llm.sharding import sharded
 from stratacast.llm.token_files import new_root, read_token_files, write_token_files
 from stratacast.llm.toxicity import toxicity
 
@@ -118,3 +120,13 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_toxicity")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(documents(spark, folder), table(spark, folder, "labels"))
+
+
+@query("op7_sharding")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return sharded(documents(spark, folder), shards=8)
+
+
+@query("op10_secrets")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_secrets(documents(spark, folder))
