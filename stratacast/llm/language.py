@@ -217,6 +217,32 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return texts.mapInArrow(_predict(shared), f"doc_id {kind}, lang_pred string, score double")
 
 
+def _confident(model, least: float):
+    def run(batches):
+        found = model.value
+        for batch in batches:
+            keep = [False] * batch.num_rows
+            for row, present, counts in text_counts(batch.column("text")):
+                raw = found.weights[:, present] @ _weigh(present, counts, found.idf)
+                keep[row] = float(softmax(raw.astype(float) / found.temperature).max()) >= least
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def confident(docs: DataFrame, least: float) -> DataFrame:
+    """The rows of `docs` whose text has a language with a probability of `least`, all columns kept.
+
+    Rejected are null texts, texts without a letter, and texts below `least`. With nothing
+    to learn from, every row with a letter stays.
+    """
+    model = fit(docs.filter(~held_out()))
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_confident(shared, least), docs.schema)
+
+
 def languages(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, held_out, lang_pred, score); learned from rows that are not held out.
 

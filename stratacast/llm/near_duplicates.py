@@ -323,3 +323,15 @@ def near_duplicates(
         "doc_id", "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """`docs` with one document of each group of near-duplicates, that of the smallest doc_id.
+
+    Rows that repeat a doc_id are one document and stay or go together; those without
+    doc_id, or without words, stay.
+    """
+    gone = near_duplicates(docs, size, percent).filter("doc_id is not null").groupBy("doc_id").agg(
+        F.max("kept").alias("stays")
+    ).filter("not stays").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")

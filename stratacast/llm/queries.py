@@ -12,6 +12,7 @@ from stratacast.llm.decontaminate import contained_items
 from stratacast.llm.language import languages
 from stratacast.llm.near_duplicates import near_duplicates
 from stratacast.llm.packing import packed
+from stratacast.llm.quality_rules import quality
 from stratacast.llm.repeated_passages import repeated_passages
 from stratacast.llm.secrets import scan_secrets
 from stratacast.llm.sharding import sharded
@@ -130,3 +131,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_secrets")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return scan_secrets(documents(spark, folder))
+
+
+@query("op5_quality_rules")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return quality(documents(spark, folder), table(spark, folder, "labels"))
