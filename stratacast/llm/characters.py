@@ -8,7 +8,9 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_CHARS = 1 << 20
+from stratacast.llm.words import text_slices
+
+SLICE_BYTES = 1 << 19
 _PLANE = 0x10000
 
 
@@ -41,15 +43,10 @@ def code_points(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
 
     Null texts count as empty; code points beyond the basic plane are given as 0xFFFF.
     """
-    texts = [text or "" for text in column.to_pylist()]
-    at = 0
-    while at < len(texts):
-        stop, held = at, 0
-        while stop < len(texts) and (stop == at or held + len(texts[stop]) < SLICE_CHARS):
-            held += len(texts[stop]) + 1
-            stop += 1
-        joined = "\n".join(texts[at:stop]) + "\n"
-        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        offsets = np.concatenate(([0], np.cumsum([len(text) + 1 for text in texts[at:stop]])))
-        yield at, stop, np.minimum(points, np.uint32(_PLANE - 1)), offsets
-        at = stop
+    for first, stop, data, edges in text_slices(column, SLICE_BYTES):
+        raw = data.tobytes()
+        texts = [raw[a:b].decode() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        joined = "\n".join(texts) + "\n"
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        offsets = np.concatenate(([0], np.cumsum([len(text) + 1 for text in texts])))
+        yield first, stop, np.minimum(points, np.uint32(_PLANE - 1)), offsets

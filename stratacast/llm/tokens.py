@@ -17,9 +17,9 @@ import pyarrow as pa
 
 from stratacast.llm.words import SEPARATOR, _BASE, _INVERSE, _power_table, mix, text_slices
 
-SLICE_BYTES = 1 << 20
-MEMO_BITS = 21
-MEMO_IDS = 16_000_000
+SLICE_BYTES = 1 << 19
+MEMO_BITS = 20
+MEMO_IDS = 6_000_000
 JOINED = 2000
 _SECOND = 0xD6E8FEB86659FD93
 _SECOND_INVERSE = pow(_SECOND, -1, 1 << 64)
@@ -83,8 +83,12 @@ class Encoder:
         self.starts, self.lengths = (np.zeros(1 << MEMO_BITS, np.int32) for _ in range(2))
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        out = []
+        for at in range(0, len(texts), 8):  # the library's results are far larger than the ids
+            found = self.tokenizer.encode_batch_fast(texts[at:at + 8], add_special_tokens=False)
+            out += [np.array(e.ids, np.uint32) for e in found]
+        return out
 
     def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each chunk): chunks joined by a mark that gives one id of its own.
@@ -100,7 +104,7 @@ class Encoder:
         lists = self._library([join.join(pieces[at] for at in group) + join for group in groups])
         lists += self._library([pieces[at] for at in odd])
         (mark_id,) = self._library([mark])[0]
-        ids = np.array([i for x in lists for i in x], np.uint32)
+        ids = np.concatenate(lists) if lists else np.zeros(0, np.uint32)
         lengths = np.zeros(len(pieces), np.int64)
         after_plain = sum(map(len, lists[:len(groups)]))
         marks = np.flatnonzero(ids[:after_plain] == mark_id)
@@ -173,7 +177,7 @@ class Encoder:
                 raw = data.tobytes()
                 whole = self._library([raw[offsets[row]:offsets[row + 1]].decode() for row in wide])
                 for row, mine in zip(wide, whole, strict=True):
-                    lists[row] = np.array(mine, np.uint32)
+                    lists[row] = mine
                 ids = np.concatenate(lists)
                 places = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
             yield first, stop, ids, places

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -29,7 +29,7 @@ def _power_table(base: int, count: int) -> np.ndarray:
     """base**0 .. base**(count-1) mod 2**64, kept for the next call."""
     table = _powers.get(base)
     if table is None or len(table) < count:
-        table = np.full(max(count, SLICE_BYTES + 4096), base, np.uint64)
+        table = np.full(max(count, SLICE_BYTES + 1024), base, np.uint64)
         table[0] = 1
         table = np.cumprod(table, dtype=np.uint64)
         _powers[base] = table
