@@ -10,9 +10,9 @@ contains such a place, and it is the same place in every copy, as the words alon
 2. The rest get the words around them (32 bits each), are sorted as suffixes, compared with
    the neighbours from other texts, and extended to the right and to the left.
 3. A suffix that stays short of `min_words` may have its partner further off in the order,
-   as many share its seed. Such ones, and those of very frequent seeds, look up every window
-   of `min_words` words over the seed among the windows of its other suffixes: exact, and by
-   an aggregate that no frequent seed can overload.
+   as many share its seed. It looks up its windows of `min_words` words over the seed among
+   those of the seed's other suffixes. For these a row for each distinct window of a block
+   suffices, so the look-up is exact and no frequent seed can overload it.
 4. Places of one text that overlap or touch are joined.
 """
 
@@ -28,17 +28,19 @@ from stratacast.llm.common import Scratch
 from stratacast.llm.words import hash_words, mix, shingles, text_slices
 
 
-#: Suffixes of one seed up to which they are sorted together; beyond, windows are looked up.
+#: Suffixes of one seed up to which they are sorted together. More are dealt out by what
+#: follows the seed and by document, so that equal surroundings mostly stay together.
 GROUP_ROWS = 20_000
 BLOCK_ROWS = 8192
-NAMES = ["doc_id", "start", "n_words", "other", "window"]
+NAMES = ["doc_id", "start", "n_words", "other", "window", "low", "high"]
 
 
 def minimisers(values: np.ndarray, owner: np.ndarray, window: int) -> np.ndarray:
     """Places that are the leftmost smallest of some `window` neighbours in their text.
 
     A text with fewer values than `window` has no place. In a stretch of one repeated
-    value only the first and last place stay.
+    value only the first place and the last `window` ones stay: windows that reach beyond
+    the stretch choose among these, and for windows inside it one place is like another.
     """
     count = len(values) - window + 1
     if count <= 0:
@@ -56,7 +58,9 @@ def minimisers(values: np.ndarray, owner: np.ndarray, window: int) -> np.ndarray
     chosen = np.unique(place[:count][whole])
     same = np.zeros(len(values) + 1, bool)
     same[1:-1] = (values[1:] == values[:-1]) & (owner[1:] == owner[:-1])
-    return chosen[~(same[chosen] & same[chosen + 1])]
+    stretch_ends = np.flatnonzero(~same[1:])
+    ahead = stretch_ends[np.searchsorted(stretch_ends, chosen)] - chosen
+    return chosen[~same[chosen] | (ahead < window)]
 
 
 def _sampled(column: pa.Array, seed_words: int, min_words: int):
@@ -139,48 +143,52 @@ def _common(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.argmax(differ, axis=1)
 
 
+def _window_keys(before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, which are whole) of the windows 0, 1, .. words before each suffix."""
+    reach, size = before.shape[1], after.shape[1]
+    line = np.concatenate((before[:, ::-1], after), axis=1)
+    keys = np.zeros((len(line), reach + 1), np.uint64)
+    whole = np.ones((len(line), reach + 1), bool)
+    for lead in range(reach + 1):
+        window = line[:, reach - lead:reach - lead + size]
+        key = np.zeros(len(line), np.uint64)
+        for at in range(size):
+            key = key * np.uint64(0x9E3779B97F4A7C15) + window[:, at].astype(np.uint64) + np.uint64(1)
+        keys[:, lead] = mix(key)
+        whole[:, lead] = window.all(axis=1)
+    return keys, whole
+
+
 def _compare(seed_words: int, min_words: int):
     """Neighbours in suffix order compared; see the module's points 2 and 3.
 
-    Gives found places (start, n_words, partner) and, for suffixes that need it, the hashes
-    of their windows; the first of these starts `lead` words before the suffix.
+    Three kinds of rows: found places (doc_id, start, n_words, other); windows of suffixes
+    that look for a partner (doc_id, start, window); and windows of the others in their
+    group, as (window, smallest and largest doc_id) of a block.
     """
     reach = min_words - seed_words
 
-    def windows(before, after, low):
-        """Hashes of the windows that start low .. reach words before each suffix."""
-        line = np.concatenate((before[:, ::-1], after), axis=1).astype(np.uint64)
-        found = []
-        for row, words in enumerate(line):
-            mine = []
-            for lead in range(max(int(low[row]), 0), reach + 1):
-                window = words[reach - lead:reach - lead + min_words]
-                if window.all():
-                    mine.append((lead, window))
-            if mine:
-                stack = np.stack([w for _, w in mine])
-                key = np.zeros(len(mine), np.uint64)
-                for at in range(min_words):
-                    key = key * np.uint64(0x9E3779B97F4A7C15) + stack[:, at] + np.uint64(1)
-                found.append((row, [m[0] for m in mine], mix(key).view(np.int64)))
-        return found
+    def rows(**columns):
+        size = len(next(iter(columns.values())))
+        return pa.record_batch(
+            [pa.array(columns[n]) if n in columns else pa.nulls(size, pa.int64()) for n in NAMES], names=NAMES
+        )
 
     def block(table):
         table = table.combine_chunks()
-        docs, places, seeds = (table.column(c).to_numpy() for c in ("doc_id", "place", "seed"))
+        docs, places, cells = (table.column(c).to_numpy() for c in ("doc_id", "place", "cell"))
         hot = table.column("parts").to_numpy() > 1
         before = np.frombuffer(b"".join(table.column("before").to_pylist()), np.uint32).reshape(-1, reach)
         after = np.frombuffer(b"".join(table.column("after").to_pylist()), np.uint32).reshape(-1, min_words)
         count = len(docs)
-        turn = np.flatnonzero(np.concatenate(([True], (docs[1:] != docs[:-1]) | (seeds[1:] != seeds[:-1]))))
-        run_of = np.repeat(np.arange(len(turn)), np.diff(np.append(turn, count)))
+        turn = np.flatnonzero(np.concatenate(([True], (docs[1:] != docs[:-1]) | (cells[1:] != cells[:-1]))))
         ends = np.append(turn, count)
-        best_left, best_right = np.zeros(count, np.int64), np.zeros(count, np.int64)
+        run_of = np.repeat(np.arange(len(turn)), np.diff(ends))
+        best_left, best_right, longest = (np.zeros(count, np.int64) for _ in range(3))
         partner = np.full(count, -1, np.int64)
-        longest = np.zeros(count, np.int64)
         for other in (turn[run_of] - 1, ends[run_of + 1]):
-            at = np.flatnonzero((other >= 0) & (other < count) & ~hot)
-            at = at[seeds[other[at]] == seeds[at]]
+            at = np.flatnonzero((other >= 0) & (other < count))
+            at = at[cells[other[at]] == cells[at]]
             right = _common(after[at], after[other[at]])
             left = _common(before[at], before[other[at]])
             longest[at] = np.maximum(longest[at], right)
@@ -188,26 +196,40 @@ def _compare(seed_words: int, min_words: int):
             at, left, right, mate = at[better], left[better], right[better], other[at][better]
             best_left[at], best_right[at], partner[at] = left, right, docs[mate]
         done = best_left + best_right >= min_words
-        group = np.flatnonzero(np.concatenate(([True], seeds[1:] != seeds[:-1])))
-        several = np.zeros(count, bool)
-        open_groups = np.zeros(count, bool)
-        for start, stop in zip(group, np.append(group[1:], count), strict=True):
-            several[start:stop] = docs[start:stop].min() != docs[start:stop].max()
-            open_groups[start:stop] = not done[start:stop].all()
         yes = np.flatnonzero(done)
         if len(yes):
-            yield pa.record_batch([
-                pa.array(docs[yes]), pa.array(places[yes] - best_left[yes]), pa.array(best_left[yes] + best_right[yes]),
-                pa.array(partner[yes]), pa.nulls(len(yes), pa.int64()),
-            ], names=NAMES)
-        longest[hot] = min_words
-        need = np.flatnonzero((open_groups & several & (longest + reach >= min_words)) | hot)
-        for row, leads, keys in windows(before[need], after[need], min_words - longest[need]):
-            at = need[row]
-            yield pa.record_batch([
-                pa.array(np.full(len(keys), docs[at])), pa.array(places[at] - np.array(leads)),
-                pa.array(np.full(len(keys), min_words)), pa.nulls(len(keys), pa.int64()), pa.array(keys),
-            ], names=NAMES)
+            yield rows(
+                doc_id=docs[yes], start=places[yes] - best_left[yes], n_words=best_left[yes] + best_right[yes],
+                other=partner[yes],
+            )
+        group = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
+        sizes = np.diff(np.append(group, count))
+        several = np.minimum.reduceat(docs, group) != np.maximum.reduceat(docs, group)
+        unfinished = ~np.logical_and.reduceat(done, group)
+        need = np.flatnonzero(np.repeat(several & unfinished, sizes) | hot)
+        if not len(need):
+            return
+        # suffixes of the same surroundings have the same windows
+        around = np.ascontiguousarray(np.concatenate((before[need], after[need]), axis=1))
+        _, first, alike = np.unique(
+            around.view(f"V{around.shape[1] * 4}").ravel(), return_index=True, return_inverse=True
+        )
+        keys, whole = _window_keys(before[need[first]], after[need[first]])
+        longest[hot] = min_words  # partners of a frequent seed may be in another block
+        asks = np.flatnonzero(~done[need])
+        possible = np.arange(reach + 1) >= (min_words - longest[need[asks]])[:, None]
+        row, lead = np.nonzero(whole[alike[asks]] & possible)
+        if len(row):
+            at = need[asks[row]]
+            yield rows(doc_id=docs[at], start=places[at] - lead, window=keys[alike[asks[row]], lead].view(np.int64))
+        gives = np.flatnonzero(done[need])
+        if len(gives):
+            low = np.full(len(first), np.iinfo(np.int64).max)
+            high = np.full(len(first), np.iinfo(np.int64).min)
+            np.minimum.at(low, alike[gives], docs[need[gives]])
+            np.maximum.at(high, alike[gives], docs[need[gives]])
+            row, lead = np.nonzero(whole & (low <= high)[:, None])
+            yield rows(window=keys[row, lead].view(np.int64), low=low[row], high=high[row])
 
     def run(batches):
         held = None
@@ -216,8 +238,8 @@ def _compare(seed_words: int, min_words: int):
             held = table if held is None else pa.concat_tables([held, table])
             if held.num_rows < BLOCK_ROWS:
                 continue
-            seeds = held.column("seed").to_numpy()
-            edges = np.flatnonzero(seeds[1:] != seeds[:-1])
+            cells = held.column("cell").to_numpy()
+            edges = np.flatnonzero(cells[1:] != cells[:-1])
             if len(edges):
                 yield from _joined(block(held.slice(0, int(edges[-1]) + 1)))
                 held = held.slice(int(edges[-1]) + 1)
@@ -270,18 +292,19 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, seed_words: int = 16
         _contexts(seed_words, min_words),
         "doc_id long, place long, seed long, parts int, before binary, after binary",
     )
-    spread = F.pmod(F.xxhash64("doc_id"), F.col("parts").cast("long"))
-    ordered = contexts.withColumn("spread", spread).repartition("seed", "spread").sortWithinPartitions("seed", "after")
+    dealt = [F.pmod(F.xxhash64(c), F.col("parts").cast("long")) for c in ("after", "doc_id")]
+    ordered = contexts.withColumn("cell", F.xxhash64("seed", *dealt)).repartition("cell").sortWithinPartitions("cell", "after")
     compared = scratch.save(
-        ordered.mapInArrow(
-            _compare(seed_words, min_words), "doc_id long, start long, n_words long, other long, window long"
-        ), "compared",
+        ordered.mapInArrow(_compare(seed_words, min_words), ", ".join(f"{name} long" for name in NAMES)), "compared"
     )
-    windows = compared.filter("window is not null").select("doc_id", "start", "n_words", "window")
-    met = windows.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
+    windows = compared.filter("window is not null")
+    met = windows.groupBy("window").agg(
+        F.min(F.coalesce("low", "doc_id")).alias("least"), F.max(F.coalesce("high", "doc_id")).alias("most")
+    ).filter("least < most")
     places = compared.filter("window is null").select("doc_id", "start", "n_words", "other").union(
-        windows.join(met, "window").select(
-            "doc_id", "start", "n_words", F.when(F.col("low") == F.col("doc_id"), F.col("high")).otherwise(F.col("low"))
+        windows.filter("doc_id is not null").join(met, "window").select(
+            "doc_id", "start", F.lit(min_words).cast("long"),
+            F.when(F.col("least") == F.col("doc_id"), F.col("most")).otherwise(F.col("least")),
         )
     ).distinct()
     by_start = Window.partitionBy("doc_id").orderBy("start", "n_words", "other")

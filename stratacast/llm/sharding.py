@@ -35,30 +35,31 @@ def round_keys(seed: int) -> list[int]:
     return [(seed * 1_000_003 + 7_919 * (at + 1) * (at + 5)) % 1_000_000_007 for at in range(ROUNDS)]
 
 
-def _stir(half: Column, key: int) -> Column:
+def _stir(half: Column, key: Column) -> Column:
     """A round function below 2**31: integer arithmetic that any SQL engine has."""
-    moved = (half + F.lit(key)) % F.lit(PRIME)
+    moved = (half + key) % F.lit(PRIME)
     return ((moved * moved) % F.lit(PRIME) * F.lit(48_271) + half * F.lit(69_621)) % F.lit(PRIME)
 
 
-def _let(value: Column, body) -> Column:
-    """`body` of `value`, which is computed once."""
-    return F.transform(F.array(value), body).getItem(0)
-
-
-def _round(at: int, key: int, sign: int, a: int, b: int):
-    """One round on a pair: even rounds move the left half by the right one, odd ones the right."""
-    if at % 2 == 0:
-        return lambda p: F.struct(F.pmod(p["l"] + sign * _stir(p["r"], key), F.lit(a)).alias("l"), p["r"].alias("r"))
-    return lambda p: F.struct(p["l"].alias("l"), F.pmod(p["r"] + sign * _stir(p["l"], key), F.lit(b)).alias("r"))
-
-
 def _one_pass(number: Column, a: int, b: int, keys: list[int], backwards: bool) -> Column:
-    pair = F.struct((number % a).alias("l"), ((number - number % a) / a).cast("long").alias("r"))
-    steps = list(enumerate(keys))
-    for at, key in reversed(steps) if backwards else steps:
-        pair = _let(pair, _round(at, key, -1 if backwards else 1, a, b))
-    return _let(pair, lambda p: p["r"] * a + p["l"])
+    """All rounds: even ones move the left half by the right one, odd ones the right by the left."""
+    sign = -1 if backwards else 1
+    steps = [(at % 2 == 0, key) for at, key in enumerate(keys)]
+    rounds = F.array(*(
+        F.struct(F.lit(left).alias("left"), F.lit(key).cast("long").alias("key"))
+        for left, key in (reversed(steps) if backwards else steps)
+    ))
+    pair = F.struct((number % a).cast("long").alias("l"), ((number - number % a) / a).cast("long").alias("r"))
+
+    def step(p, turn):
+        moved_l = F.pmod(p["l"] + sign * _stir(p["r"], turn["key"]), F.lit(a))
+        moved_r = F.pmod(p["r"] + sign * _stir(p["l"], turn["key"]), F.lit(b))
+        return F.struct(
+            F.when(turn["left"], moved_l).otherwise(p["l"]).cast("long").alias("l"),
+            F.when(turn["left"], p["r"]).otherwise(moved_r).cast("long").alias("r"),
+        )
+
+    return F.aggregate(rounds, pair, step, lambda p: p["r"] * a + p["l"])
 
 
 def permuted(number: Column, n: int, seed: int, backwards: bool = False) -> Column:
@@ -73,9 +74,10 @@ def permuted(number: Column, n: int, seed: int, backwards: bool = False) -> Colu
     first = _one_pass(number, a, b, keys, backwards)
     if not passes:
         return first
-    place = F.aggregate(F.sequence(F.lit(1), F.lit(passes)), first, walk)
     lost = F.raise_error(F.lit("cycle walking did not end; take another seed")).cast("long")
-    return _let(place, lambda p: F.when(p < n, p).otherwise(lost))
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(passes)), first, walk, lambda p: F.when(p < n, p).otherwise(lost)
+    )
 
 
 def shard_and_slot(place: Column, shards: int) -> tuple[Column, Column]:
