@@ -39,8 +39,8 @@ def minimisers(values: np.ndarray, owner: np.ndarray, window: int) -> np.ndarray
     """Places that are the leftmost smallest of some `window` neighbours in their text.
 
     A text with fewer values than `window` has no place. In a stretch of one repeated
-    value only the first place and the last `window` ones stay: windows that reach beyond
-    the stretch choose among these, and for windows inside it one place is like another.
+    value only the first place, the last `window` ones and each `window`-th stay: windows
+    that reach beyond the stretch choose among the former, and inside it any place will do.
     """
     count = len(values) - window + 1
     if count <= 0:
@@ -60,7 +60,7 @@ def minimisers(values: np.ndarray, owner: np.ndarray, window: int) -> np.ndarray
     same[1:-1] = (values[1:] == values[:-1]) & (owner[1:] == owner[:-1])
     stretch_ends = np.flatnonzero(~same[1:])
     ahead = stretch_ends[np.searchsorted(stretch_ends, chosen)] - chosen
-    return chosen[~same[chosen] | (ahead < window)]
+    return chosen[~same[chosen] | (ahead < window) | (ahead % window == 0)]
 
 
 def _sampled(column: pa.Array, seed_words: int, min_words: int):

@@ -54,7 +54,7 @@ def from_planes(planes: np.ndarray, kind: str, count: int) -> np.ndarray:
     if kind == "bytes":
         return np.ascontiguousarray(planes.T).view("<u4").ravel()
     bits = np.unpackbits(planes, axis=1, bitorder="little", count=count)
-    return np.packbits(bits.T, axis=1, bitorder="little").view("<u4").ravel()
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u4").ravel()
 
 
 def file_bytes(documents: np.ndarray, ids: np.ndarray, kind: str = "bytes", level: int = 3) -> bytes:

@@ -171,10 +171,14 @@ class Encoder:
         """(first row, end row, ids, offsets) over runs of rows; null texts count as empty."""
         for first, stop, data, offsets in text_slices(column, SLICE_BYTES):
             wide = _wide_space(data, offsets)
+            raw = data.tobytes() if len(wide) else b""
+            if len(wide):  # blank here, as their chunks would not be those of the library
+                data = data.copy()
+                for row in wide:
+                    data[offsets[row]:offsets[row + 1]] = 32
             ids, places = self._slice(data, offsets)
             if len(wide):
                 lists = np.split(ids, places[1:-1])
-                raw = data.tobytes()
                 whole = self._library([raw[offsets[row]:offsets[row + 1]].decode() for row in wide])
                 for row, mine in zip(wide, whole, strict=True):
                     lists[row] = mine
