@@ -99,13 +99,12 @@ def rule_counts(df: DataFrame) -> DataFrame:
     return df.agg(*(F.count_if(~ok).alias(name) for name, ok in row_rules().items()))
 
 
-def validate_rows(df: DataFrame, sample_size: int | None = None) -> None:
-    """Raise on an empty frame or on any bad row; `sample_size` limits the look."""
-    checked = df if sample_size is None else df.limit(sample_size)
+def validate_rows(df: DataFrame) -> None:
+    """Raise on an empty frame or on any bad row."""
     all_met = F.lit(True)
     for ok in row_rules().values():
         all_met = all_met & ok
-    seen = checked.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~all_met).alias("bad")).first()
+    seen = df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~all_met).alias("bad")).first()
     if seen["rows"] == 0:
         raise ValueError("training frame is empty")
     if seen["bad"]:

@@ -70,7 +70,7 @@ def _described(universe: DataFrame, companies: DataFrame) -> DataFrame:
 
 def companies_with_data(universe: DataFrame, companies: DataFrame, training: DataFrame) -> DataFrame:
     described = _described(universe, companies)
-    traded = training.select(F.col("unique_id").alias("ticker"))
+    traded = training.select(F.col("unique_id").alias("ticker")).distinct()
     return described.join(traded, "ticker", "left_semi").withColumn("has_data", F.lit(True))
 
 

@@ -36,7 +36,7 @@ def fit(
         matrix = matrix.join(weights, ["unique_id", "ds"])
     matrix = matrix.drop("unique_id", "ds").persist(SPILLING)
     try:
-        stats = label_stats(matrix)
+        stats = label_stats(matrix, "weight" if weight_col else None)
         fitted = {}
         for name in models:
             estimator = build(name, stats, seed, overrides)

@@ -18,7 +18,7 @@ from stratacast.sources.tables import restrict_universe
 def unseen_without_history(requested: DataFrame, history: DataFrame) -> DataFrame:
     """Requested ids that have no rows at all."""
     wanted = requested.select("unique_id").distinct()
-    return wanted.join(history.select("unique_id"), "unique_id", "left_anti")
+    return wanted.join(history.select("unique_id").distinct(), "unique_id", "left_anti")
 
 
 def require_history(requested: DataFrame, history: DataFrame) -> None:
@@ -42,9 +42,15 @@ def forecast(
     """Wide forecasts with the ensemble, and intervals when `residuals` are given.
 
     Series are independent once the weights are fixed, so the id filter runs
-    first. Series never trained on need only history. `future` replaces the
-    held exogenous rows.
+    first. Series never trained on need only history; an id in `ids` without
+    any raises. `future` replaces the held exogenous rows; a series that it
+    gives more or fewer than `horizon` rows fails the job.
     """
+    if ids is not None:
+        asked = ids
+        if not isinstance(ids, DataFrame):
+            asked = history.sparkSession.createDataFrame([(i,) for i in ids], "unique_id string")
+        require_history(asked, history)
     known = restrict_universe(history, ids)
     ends = series_ends(known, design)
     rows = future_rows(ends, horizon, design) if future is None else future

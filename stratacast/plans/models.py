@@ -24,14 +24,22 @@ BOOST_DEPTH = 6
 
 @dataclass(frozen=True)
 class LabelStats:
-    """Row count and label spread, which turn penalties into Spark's units."""
+    """Row count (or sum of weights) and label spread, which turn penalties into Spark's units."""
 
-    rows: int
+    rows: float
     spread: float
 
 
-def label_stats(matrix: DataFrame) -> LabelStats:
-    seen = matrix.agg(F.count("label").alias("n"), F.stddev_pop("label").alias("s")).first()
+def label_stats(matrix: DataFrame, weight_col: str | None = None) -> LabelStats:
+    """With weights: their sum, and the weighted population deviation of the label."""
+    if weight_col is None:
+        seen = matrix.agg(F.count("label").alias("n"), F.stddev_pop("label").alias("s")).first()
+    else:
+        weight, label = F.col(weight_col), F.col("label")
+        total = F.sum(weight)
+        center = F.sum(weight * label) / total
+        square = F.sum(weight * label * label) / total
+        seen = matrix.agg(total.alias("n"), F.sqrt(F.greatest(square - center * center, F.lit(0.0))).alias("s")).first()
     if not seen["n"]:
         raise ValueError("no training rows: every series is shorter than the warm-up")
     return LabelStats(seen["n"], seen["s"] or 1.0)

@@ -67,11 +67,19 @@ def with_future(state: DataFrame, future: DataFrame, design: Design) -> DataFram
     values = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in design.exogenous))
     entry = F.struct(F.unix_date("ds").alias("day"), values.cast("array<double>").alias("x"))
     rows = future.groupBy("unique_id").agg(F.array_sort(F.collect_list(entry)).alias("_rows"))
-    return state.join(rows, "unique_id").withColumns({
+    return state.join(rows, "unique_id", "left").withColumns({
         "days": F.col("_rows.day"), "exogenous": F.flatten(F.col("_rows.x")),
     }).drop("_rows")
 
 
+def unforecastable(state: DataFrame, future: DataFrame, horizon: int) -> DataFrame:
+    """(unique_id, future_rows): series of `state` whose future is not exactly `horizon` rows."""
+    rows = future.groupBy("unique_id").agg(F.count(F.lit(1)).alias("future_rows"))
+    return state.select("unique_id").join(rows, "unique_id", "left").select(
+        "unique_id", F.coalesce("future_rows", F.lit(0)).alias("future_rows")
+    ).filter(F.col("future_rows") != horizon)
+
+
 def right_aligned(arrays: pd.Series, width: int) -> np.ndarray:
     """Ragged arrays as one matrix, newest value in the last column, NaN before the first."""
     lengths = arrays.str.len().to_numpy()
@@ -141,8 +149,9 @@ def forecast_targets(
     """(unique_id, ds, step, one column per model) in target space.
 
     Each model follows its own path. `future` must hold `horizon` rows for
-    each series; a series without any is not forecast. Trained weights travel
-    to the tasks as a broadcast, whose size is set by the models alone.
+    each series of `state`; the job fails on a series that has more or fewer,
+    and names it (`unforecastable` lists them all). Trained weights travel to
+    the tasks as a broadcast, whose size is set by the models alone.
     """
     shared = state.sparkSession.sparkContext.broadcast({m: portable(model) for m, model in models.items()})
     width = len(design.exogenous)
@@ -166,7 +175,14 @@ def forecast_targets(
          T.StructField("step", T.IntegerType())]
         + [T.StructField(m, T.DoubleType()) for m in models]
     )
-    ready = with_future(state, future, design).filter(F.size("days") == horizon)
+    given = F.coalesce(F.size("days"), F.lit(0))
+    given = F.when(given < 0, 0).otherwise(given)
+    refusal = F.raise_error(F.concat(
+        F.lit("series "), F.coalesce("unique_id", F.lit("NULL")), F.lit(" has "), given.cast("string"),
+        F.lit(f" future rows; the horizon is {horizon}"),
+    )).cast("array<int>")
+    ready = with_future(state, future, design)
+    ready = ready.withColumn("days", F.when(given == horizon, F.col("days")).otherwise(refusal))
     return ready.mapInPandas(walk, schema).select(
         "unique_id", F.date_from_unix_date("day").alias("ds"), "step", *models
     )

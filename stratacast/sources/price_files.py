@@ -52,21 +52,52 @@ def from_vendor(df: DataFrame, ticker: Column) -> DataFrame:
     ).select(*BAR_COLUMNS)
 
 
+def _price_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, ticker, content): one row per price file, whole, as each has a header of its own."""
+    files = spark.read.text(path, wholetext=True)
+    place = F.url_decode(F.col("_metadata.file_path"))
+    folder = F.regexp_extract(place, r"/unique_id=([^/]+)/", 1)
+    name = F.regexp_replace(F.regexp_extract(place, r"([^/]+)$", 1), r"(?i)\.csv$", "")
+    return files.select(
+        place.alias("path"), F.when(folder != "", folder).otherwise(name).alias("ticker"), F.col("value").alias("content")
+    )
+
+
+def rejected_price_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, ticker, issue) of the files that `read_price_csv` leaves out."""
+    files = _price_files(spark, path)
+    return files.select("path", "ticker", payload_issue(F.col("content")).alias("issue")).filter("issue is not null")
+
+
 def read_price_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Scan price files named `<ticker>.csv`, or folders named `unique_id=<ticker>`."""
-    raw = spark.read.option("header", True).csv(path)
-    ticker = (
-        F.col("unique_id")
-        if "unique_id" in raw.columns
-        else F.regexp_replace(F.col("_metadata.file_name"), r"(?i)\.csv$", "")
+    """Scan price files named `<ticker>.csv`, or folders named `unique_id=<ticker>`.
+
+    Columns are found by each file's own header. A file that lacks one fails the job and is
+    named; files that are no price data at all are left out (`rejected_price_files`). One
+    ticker's file is read whole, so it must fit in a task.
+    """
+    lines = F.split("content", r"\r?\n")
+    files = _price_files(spark, path).filter(is_valid_payload(F.col("content"))).select(
+        "path", "ticker", F.transform(F.split(F.get(lines, 0), ","), lambda name: F.trim(name)).alias("header"), lines.alias("lines")
     )
-    return from_vendor(raw, ticker)
+    missing = F.array_except(F.array(*(F.lit(c) for c in VENDOR_COLUMNS)), "header")
+    refusal = F.raise_error(F.concat(
+        F.lit("price file "), F.col("path"), F.lit(" lacks columns "), F.array_join(missing, ", ")
+    )).cast("array<string>")
+    checked = files.withColumn("header", F.when(F.size(missing) == 0, F.col("header")).otherwise(refusal))
+    rows = checked.select("ticker", "header", F.posexplode("lines").alias("at", "line")).filter(
+        (F.col("at") > 0) & (F.trim("line") != "")
+    ).withColumn("cells", F.split("line", ","))
+    named = rows.select("ticker", *(
+        F.trim(F.get("cells", (F.array_position("header", c) - 1).cast("int"))).alias(c) for c in VENDOR_COLUMNS
+    ))
+    return from_vendor(named, F.col("ticker"))
 
 
 def write_price_csv(bars: DataFrame, path: str) -> None:
-    """Write bars under the vendor's header, one folder per ticker."""
+    """Write bars under the vendor's header, one folder and one file per ticker."""
     renamed = [F.col(ours).alias(vendor) for vendor, ours in zip(VENDOR_COLUMNS[1:], BAR_VALUES)]
     (
         bars.select("unique_id", F.col("ds").cast("string").alias("Date"), *renamed)
-        .write.mode("overwrite").option("header", True).partitionBy("unique_id").csv(path)
+        .repartition("unique_id").write.mode("overwrite").option("header", True).partitionBy("unique_id").csv(path)
     )

@@ -10,7 +10,10 @@ from pyspark.sql import SparkSession
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster shares, or a temporary one for single-machine runs."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stratacast-")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return named or tempfile.mkdtemp(prefix="stratacast-")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

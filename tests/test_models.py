@@ -62,7 +62,7 @@ def test_exponential_mean_is_exact_on_a_long_series(spark):
 
 def test_warm_up_removes_41_rows_per_series(panel):
     assert LagSpec().lookback == 41
-    assert with_model_features(panel, Design()).count() == 540 - 3 * 41
+    assert with_model_features(panel, Design()).count() == 570 - 3 * 41
 
 
 def test_features_add_no_shuffle_and_no_python(spark, raw_bars):
@@ -200,31 +200,58 @@ def test_price_target_is_modelled_as_changes(spark, raw_bars):
     assert (falling["f"] == 0.0).all()
     model = fitting.fit(prices, ["ridge"], design)
     fitted = fitting.fitted_values(prices, model, design).toPandas()
-    assert len(fitted) == 540 - 3 * 6 and (fitted["ridge"] > 0).all()
+    assert len(fitted) == 570 - 3 * 6 and (fitted["ridge"] > 0).all()
 
 
 def test_forecast_shape_ids_and_ensemble(panel, models):
-    wide = forecasting.forecast(panel, models, 3, ids=["AAPL.US", "MSFT.US"]).toPandas()
+    wide = forecasting.forecast(panel, models, 3, ids=["ABEL.US", "MORN.US"]).toPandas()
     assert len(wide) == 6
     assert np.allclose(wide["ensemble_mean"], wide[["ridge", "rf", "gb"]].mean(axis=1))
-    assert (wide["ensemble_mean"] > 50).all()
+    assert (wide["ensemble_mean"] > 20).all()
     everyone = forecasting.forecast(panel, models, 3).toPandas().set_index(["unique_id", "ds"])
-    assert np.allclose(everyone.loc[["AAPL.US", "MSFT.US"]].sort_index(), wide.set_index(["unique_id", "ds"]).sort_index())
+    assert np.allclose(everyone.loc[["ABEL.US", "MORN.US"]].sort_index(), wide.set_index(["unique_id", "ds"]).sort_index())
 
 
 def test_requested_series_need_history(spark, panel):
-    asked = spark.createDataFrame([("AAPL.US",), ("NEW.US",)], "unique_id string")
+    asked = spark.createDataFrame([("ABEL.US",), ("NEW.US",)], "unique_id string")
     with pytest.raises(ValueError, match="NEW.US"):
         forecasting.require_history(asked, panel)
+    with pytest.raises(ValueError, match="NEW.US"):
+        forecasting.forecast(panel, {}, 3, ids=["ABEL.US", "NEW.US"])
+
+
+def test_a_future_of_another_length_fails_and_names_the_series(panel):
+    design = Design(lag_spec=LagSpec((1,), (), (), (), (), (), ()), exogenous=(), technical_shift=0)
+    state, future = recursive.series_state(panel, design), future_per_series(panel, 3)
+    scorer = {"flat": LinearScorer(np.zeros(1), 0.0)}
+    short = future.filter("unique_id <> 'MORN.US' or step < 3")
+    none = future.filter("unique_id <> 'MORN.US'")
+    for given, rows in ((short, 2), (none, 0), (future_per_series(panel, 4).filter("step < 4 or unique_id = 'MORN.US'"), 4)):
+        with pytest.raises(Exception, match=f"series MORN.US has {rows} future rows"):
+            recursive.forecast_targets(state, given, scorer, 3, design).collect()
+        listed = recursive.unforecastable(state, given, 3).collect()
+        assert [tuple(r) for r in listed] == [("MORN.US", rows)]
+    assert recursive.forecast_targets(state, future, scorer, 3, design).count() == 9
+
+
+def test_weighted_ridge_against_the_closed_form(panel):
+    weighted = panel.withColumn("w", F.when(F.col("unique_id") == "ABEL.US", 0.05).otherwise(0.3))
+    model = fitting.fit(weighted, ["ridge"], PAIR, weight_col="w")["ridge"]
+    rows = training_matrix(weighted, PAIR).join(weighted.select("unique_id", "ds", "w"), ["unique_id", "ds"]).collect()
+    x = np.array([r["features"].toArray() for r in rows])
+    y, w = np.array([r["label"] for r in rows]), np.array([r["w"] for r in rows])
+    xc, yc = x - np.average(x, axis=0, weights=w), y - np.average(y, weights=w)
+    want = np.linalg.solve((xc.T * w) @ xc + np.eye(x.shape[1]), (xc.T * w) @ yc)
+    assert np.allclose(model.coefficients.toArray(), want, atol=1e-6)
 
 
 def test_series_end_on_their_own_dates(spark, panel):
-    shorter = panel.filter("unique_id <> 'AAPL.US' or ds < '2023-09-01'")
+    shorter = panel.filter("unique_id <> 'ABEL.US' or ds < '2023-09-18'")
     with pytest.raises(ValueError, match="missing future exogenous rows: 6"):
         require_future(shorter, future_per_series(panel, 14), 14)
     require_future(shorter, future_per_series(shorter, 14), 14)
     starts = future_per_series(shorter, 14).groupBy("unique_id").agg(F.min("ds").alias("ds")).collect()
-    assert {r["ds"] for r in starts if r["unique_id"] == "AAPL.US"} == {dt.date(2023, 9, 1)}
+    assert {r["ds"] for r in starts if r["unique_id"] == "ABEL.US"} == {dt.date(2023, 9, 18)}
 
 
 def test_future_rows_equal_the_separate_operators(panel):
@@ -250,7 +277,7 @@ def test_cross_validation_counts_and_cutoffs(panel):
     assert len(pdf) == 3 * 14 * 2 and pdf["cutoff"].nunique() == 2
     assert (pdf["ds"] > pdf["cutoff"]).all() and pdf.notna().all().all()
     assert {r["fold"]: r["n"] for r in folds.groupBy("fold").agg(F.count("*").alias("n")).collect()} == {
-        0: 3 * (180 - 21 - 5), 1: 3 * (180 - 14 - 5)}
+        0: 3 * (190 - 21 - 5), 1: 3 * (190 - 14 - 5)}
 
 
 def test_windows_agree_with_their_fanned_out_form(panel):
@@ -262,17 +289,17 @@ def test_windows_agree_with_their_fanned_out_form(panel):
 
 
 def test_short_series_are_listed(panel):
-    mixed = panel.filter("unique_id <> 'AAPL.US' or ds < '2023-02-01'")
+    mixed = panel.filter("unique_id <> 'ABEL.US' or ds < '2023-02-01'")
     rows = crossval.short_series(mixed, Design(), 2, 14, 7).collect()
-    assert [(r["unique_id"], r["trainable"]) for r in rows] == [("AAPL.US", False)]
+    assert [(r["unique_id"], r["trainable"]) for r in rows] == [("ABEL.US", False)]
 
 
 def test_intervals_bracket_and_fall_back(panel):
-    mixed = panel.filter("unique_id <> 'AAPL.US' or ds < '2023-01-20'")
+    mixed = panel.filter("unique_id <> 'ABEL.US' or ds < '2023-01-20'")
     residuals = crossval.calibrate(mixed, ["ridge"], 5, design=PAIR)
     model = fitting.fit(mixed, ["ridge"], PAIR)
     wide = forecasting.forecast(mixed, model, 5, design=PAIR, residuals=residuals).toPandas().set_index("unique_id")
-    short, rest = wide.loc["AAPL.US"], wide.drop("AAPL.US")
+    short, rest = wide.loc["ABEL.US"], wide.drop("ABEL.US")
     assert short["ridge-lo-80"].isna().all() and short["ridge"].notna().all()
     assert (rest["ridge-lo-95"] <= rest["ridge-lo-80"]).all() and (rest["ridge-lo-80"] <= rest["ridge"]).all()
     assert (rest["ridge"] <= rest["ridge-hi-80"]).all() and (rest["ridge-hi-80"] <= rest["ridge-hi-95"]).all()
@@ -281,14 +308,14 @@ def test_intervals_bracket_and_fall_back(panel):
 def test_update_touches_only_given_series(panel):
     history = panel.select("unique_id", "ds", "y")
     day = history.agg(F.max("ds")).first()[0]
-    latest = history.filter((F.col("unique_id") == "AAPL.US") & (F.col("ds") == day)).withColumn("y", F.lit(0.5))
+    latest = history.filter((F.col("unique_id") == "ABEL.US") & (F.col("ds") == day)).withColumn("y", F.lit(0.5))
     merged = merge_observations(history, latest)
-    assert merged.count() == 540
+    assert merged.count() == 570
     assert merged.filter("y = 0.5").count() == 1
     state = recursive.series_state(history)
     fresh = refresh_state(state, history, latest).toPandas().set_index("unique_id")
     old = state.toPandas().set_index("unique_id")
-    assert fresh.loc["AAPL.US", "level"] == 0.5 and fresh.loc["MSFT.US", "mean"] == old.loc["MSFT.US", "mean"]
+    assert fresh.loc["ABEL.US", "level"] == 0.5 and fresh.loc["MORN.US", "mean"] == old.loc["MORN.US", "mean"]
     with pytest.raises(RuntimeError):
         refresh_state(None, history, latest)
 
@@ -309,8 +336,8 @@ def test_saved_models_forecast_the_same(spark, panel, models, tmp_path):
 
 
 def test_fitted_values_cover_series_not_trained_on(panel):
-    trained = fitting.fit(panel.filter("unique_id <> 'GOOG.US'"), ["ridge"])
-    assert fitting.fitted_values(panel, trained).filter("unique_id = 'GOOG.US'").count() == 180 - 41
+    trained = fitting.fit(panel.filter("unique_id <> 'FINN.US'"), ["ridge"])
+    assert fitting.fitted_values(panel, trained).filter("unique_id = 'FINN.US'").count() == 190 - 41
 
 
 def test_boosting_rounds(panel):
@@ -322,7 +349,7 @@ def test_full_run_counts(spark, raw_bars, tmp_path):
     settings = Settings(enable_prediction_intervals=True, horizon=5, cv_step_size=3)
     run = full_run(spark, raw_bars, None, str(tmp_path / "run"), ["ridge"], settings)
     row = run.summary.first()
-    assert (row["rows"], row["series"], row["fitted_rows"]) == (540, 3, 540 - 3 * 41)
+    assert (row["rows"], row["series"], row["fitted_rows"]) == (570, 3, 570 - 3 * 41)
     assert (row["cv_rows"], row["forecast_rows"], row["best_model"]) == (30, 15, "ridge")
     assert "ridge-lo-80" in run.forecasts.columns
 

@@ -59,10 +59,10 @@ def test_quantiles_interpolate(spark):
 
 @pytest.fixture()
 def market(spark):
-    universe = spark.createDataFrame([(1, "aapl.us"), (2, "brk-b.us"), (3, "zzz.us")], "position int, ticker string")
+    universe = spark.createDataFrame([(1, "abel.us"), (2, "brk-b.us"), (3, "zzz.us")], "position int, ticker string")
     companies = spark.createDataFrame(
-        [("AAPL", "Apple", "Tech"), ("BRK.B", "Berkshire", "Finance")], "ticker string, name string, sector string")
-    training = spark.createDataFrame([("AAPL.US", DAY, 1.0), ("ZZZ.US", DAY, 2.0)], "unique_id string, ds date, close double")
+        [("ABEL", "Apple", "Tech"), ("BRK.B", "Berkshire", "Finance")], "ticker string, name string, sector string")
+    training = spark.createDataFrame([("ABEL.US", DAY, 1.0), ("ZZZ.US", DAY, 2.0)], "unique_id string, ds date, close double")
     return universe, companies, training
 
 
@@ -71,11 +71,11 @@ def test_companies(market):
     listing = reports.all_companies(universe, companies, training)
     rows = {r["ticker"]: (r["symbol"], r["name"], r["sector"], r["has_data"]) for r in listing.collect()}
     assert rows == {
-        "AAPL.US": ("AAPL", "Apple", "Tech", True), "BRK-B.US": ("BRK-B", "Berkshire", "Finance", False),
+        "ABEL.US": ("ABEL", "Apple", "Tech", True), "BRK-B.US": ("BRK-B", "Berkshire", "Finance", False),
         "ZZZ.US": ("ZZZ", "ZZZ", "Unknown", True),
     }
     assert tuple(reports.company_counts(listing).first()) == (3, 2)
-    assert {r["ticker"] for r in reports.companies_with_data(universe, companies, training).collect()} == {"AAPL.US", "ZZZ.US"}
+    assert {r["ticker"] for r in reports.companies_with_data(universe, companies, training).collect()} == {"ABEL.US", "ZZZ.US"}
     assert [r[0] for r in reports.sectors(listing).collect()] == ["Finance", "Tech", "Unknown"]
     assert reports.search_companies(listing, text=" berk ").count() == 1
     assert reports.search_companies(listing, sector="Tech", text="berk").count() == 0
@@ -86,14 +86,14 @@ def test_companies(market):
 
 def test_available_series_falls_back(market):
     universe, _, training = market
-    assert [r[0] for r in reports.available_series(training).collect()] == ["AAPL.US", "ZZZ.US"]
+    assert [r[0] for r in reports.available_series(training).collect()] == ["ABEL.US", "ZZZ.US"]
     listed = universe.union(universe)
-    assert [r[0] for r in reports.available_series(training.limit(0), listed).collect()] == ["AAPL.US", "BRK-B.US", "ZZZ.US"]
+    assert [r[0] for r in reports.available_series(training.limit(0), listed).collect()] == ["ABEL.US", "BRK-B.US", "ZZZ.US"]
 
 
 def test_training_subset_raises_when_empty(market):
     training = market[2]
-    assert reports.training_subset(training, ["AAPL.US"]).count() == 1
+    assert reports.training_subset(training, ["ABEL.US"]).count() == 1
     with pytest.raises(ValueError):
         reports.training_subset(training, ["NONE"])
 

@@ -10,19 +10,38 @@ HEADER = "Date,Open,High,Low,Close,Volume"
 
 
 def test_csv_files_are_scanned_by_ticker_name(spark, tmp_path):
-    (tmp_path / "aapl.us.csv").write_text(f"{HEADER}\n2024-01-02,1,2,0.5,1.5,100\n2024-01-03,1.5,2,1,n/a,90\n")
-    (tmp_path / "msft.us.csv").write_text(f"{HEADER}\n2024-01-02,3,4,2,3.5,10\n")
+    (tmp_path / "abel.us.csv").write_text(f"{HEADER}\n2024-01-02,1,2,0.5,1.5,100\n2024-01-03,1.5,2,1,n/a,90\n")
+    (tmp_path / "morn.us.csv").write_text(f"{HEADER}\n2024-01-02,3,4,2,3.5,10\n")
     rows = price_files.read_price_csv(spark, str(tmp_path)).orderBy("unique_id", "ds").collect()
-    assert [r["unique_id"] for r in rows] == ["AAPL.US", "AAPL.US", "MSFT.US"]
+    assert [r["unique_id"] for r in rows] == ["ABEL.US", "ABEL.US", "MORN.US"]
     assert rows[0]["ds"] == dt.datetime(2024, 1, 2) and rows[0]["volume"] == 100.0
     assert rows[1]["close"] is None
     assert list(rows[0].asDict()) == ["unique_id", "ds", "open", "high", "low", "close", "volume"]
 
 
 def test_csv_without_a_column_names_it(spark, tmp_path):
-    (tmp_path / "x.csv").write_text("Date,Open,High,Low,Close\n2024-01-02,1,2,0.5,1.5\n")
-    with pytest.raises(ValueError, match="Volume"):
-        price_files.read_price_csv(spark, str(tmp_path))
+    (tmp_path / "x.csv").write_text("Date,Open,High,Low,Close\n" + "2024-01-02,1,2,0.5,1.5\n" * 2)
+    with pytest.raises(Exception, match="x.csv lacks columns Volume"):
+        price_files.read_price_csv(spark, str(tmp_path)).collect()
+
+
+def test_each_csv_file_is_read_by_its_own_header(spark, tmp_path):
+    (tmp_path / "0700.csv").write_text(f"{HEADER}\n2024-01-02,1,2,0.5,1.5,100\n")
+    (tmp_path / "b.csv").write_text("Date,Close,Open,High,Low,Volume\r\n2024-01-02,1.5,1,2,0.5,100\r\n\r\n")
+    (tmp_path / "page.csv").write_text("<html><body>" + "Date Close " * 20)
+    rows = price_files.read_price_csv(spark, str(tmp_path)).orderBy("unique_id").collect()
+    assert [tuple(r)[0] for r in rows] == ["0700", "B"]
+    assert [tuple(r)[2:] for r in rows] == [(1.0, 2.0, 0.5, 1.5, 100.0)] * 2
+    assert [(r.ticker, r.issue) for r in price_files.rejected_price_files(spark, str(tmp_path)).collect()] == [("page", "markup")]
+
+
+def test_price_files_round_trip_digit_tickers(spark, raw_bars, tmp_path):
+    bars = raw_bars.withColumn("unique_id", F.regexp_replace("unique_id", "ABEL.US", "0005"))
+    price_files.write_price_csv(bars, str(tmp_path / "out"))
+    back = price_files.read_price_csv(spark, str(tmp_path / "out"))
+    assert back.exceptAll(bars.select(back.columns).withColumn("ds", F.col("ds").cast("timestamp_ntz"))).count() == 0
+    assert back.count() == 570 and "0005" in {r[0] for r in back.select("unique_id").distinct().collect()}
+    assert len(list((tmp_path / "out").glob("unique_id=*/*.csv"))) == 3
 
 
 @pytest.mark.parametrize("text, issue", [
@@ -38,12 +57,12 @@ def test_payload_issue(spark, text, issue):
 
 
 def test_symbols(spark):
-    df = spark.createDataFrame([("brk-b.us",), ("AAPL.US",), ("us.usb",)], "t string")
+    df = spark.createDataFrame([("brk-b.us",), ("ABEL.US",), ("us.usb",)], "t string")
     t = F.col("t")
     rows = df.select(symbols.ticker_to_symbol(t), symbols.symbol_to_ticker(symbols.ticker_to_symbol(t)),
                      symbols.company_key(t)).collect()
     assert [tuple(r) for r in rows] == [
-        ("BRK-B", "BRK-B.US", "BRK.B"), ("AAPL", "AAPL.US", "AAPL"), ("US.USB", "US.USB.US", "US.USB"),
+        ("BRK-B", "BRK-B.US", "BRK.B"), ("ABEL", "ABEL.US", "ABEL"), ("US.USB", "US.USB.US", "US.USB"),
     ]
 
 
@@ -51,16 +70,16 @@ def test_round_trip_combine_and_restrictions(spark, raw_bars, tmp_path):
     path = str(tmp_path / "bars")
     tables.save_table(raw_bars, path)
     back = tables.load_table(spark, path, raw_bars.schema)
-    assert back.count() == 540
-    assert tables.combine([back.limit(0), back]).count() == 540
+    assert back.count() == 570
+    assert tables.combine([back.limit(0), back]).count() == 570
     with pytest.raises(ValueError):
         tables.combine([back.limit(0)])
     with pytest.raises(ValueError):
         tables.combine([])
-    assert tables.restrict_universe(back, []).count() == 540
-    assert tables.restrict_universe(back, ["AAPL.US"]).count() == 180
-    ids = back.select("unique_id").filter("unique_id <> 'AAPL.US'").distinct()
-    assert tables.restrict_universe(back, ids).count() == 360
+    assert tables.restrict_universe(back, []).count() == 570
+    assert tables.restrict_universe(back, ["ABEL.US"]).count() == 190
+    ids = back.select("unique_id").filter("unique_id <> 'ABEL.US'").distinct()
+    assert tables.restrict_universe(back, ids).count() == 380
     month = tables.restrict_dates(back, dt.datetime(2023, 2, 1), dt.datetime(2023, 3, 1))
     assert month.agg(F.min("ds"), F.max("ds")).first() == (dt.datetime(2023, 2, 1), dt.datetime(2023, 2, 28))
 
@@ -68,9 +87,9 @@ def test_round_trip_combine_and_restrictions(spark, raw_bars, tmp_path):
 def test_filters_and_columns_reach_the_scan(spark, raw_bars, tmp_path):
     path = str(tmp_path / "bars")
     tables.save_table(raw_bars, path)
-    df = tables.restrict_universe(tables.load_table(spark, path), ["AAPL.US"]).select("unique_id", "close")
+    df = tables.restrict_universe(tables.load_table(spark, path), ["ABEL.US"]).select("unique_id", "close")
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(unique_id), EqualTo(unique_id,AAPL.US)]" in plan
+    assert "PushedFilters: [IsNotNull(unique_id), EqualTo(unique_id,ABEL.US)]" in plan
     assert "ReadSchema: struct<unique_id:string,close:double>" in plan
 
 
