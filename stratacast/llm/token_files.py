@@ -39,6 +39,8 @@ from stratacast.llm.tokens import encoder
 MAGIC = b"IDPLANE1"
 BLOCK = 1 << 16
 FILE_IDS = 1 << 22
+#: A larger memo than usual: nothing else is held beside a file's ids.
+MEMO_BITS = 21
 
 
 def to_planes(ids: np.ndarray, kind: str) -> np.ndarray:
@@ -139,7 +141,7 @@ def _open(root: str):
 
 def _write(root: str, path: str, end_id: int, kind: str):
     def run(batches):
-        encode = encoder(path, spaced=True).encode
+        encode = encoder(path, spaced=True, memo_bits=MEMO_BITS).encode
         files, folder = _open(root)
         part, sequence = TaskContext.get().partitionId(), 0
         rows, ids, held = [], [], 0

@@ -18,8 +18,8 @@ import pyarrow as pa
 from stratacast.llm.words import SEPARATOR, _BASE, _INVERSE, _power_table, mix, text_slices
 
 SLICE_BYTES = 1 << 19
+#: Slots of the memo, as a power of two; it starts anew after six ids for each slot.
 MEMO_BITS = 20
-MEMO_IDS = 6_000_000
 JOINED = 2000
 _SECOND = 0xD6E8FEB86659FD93
 _SECOND_INVERSE = pow(_SECOND, -1, 1 << 64)
@@ -70,17 +70,18 @@ class Encoder:
     the same slot takes it over.
     """
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, memo_bits: int = MEMO_BITS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
         self.tokenizer.encode_special_tokens = True
+        self.bits = memo_bits
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.checks = (np.zeros(1 << MEMO_BITS, np.uint64) for _ in range(2))
-        self.starts, self.lengths = (np.zeros(1 << MEMO_BITS, np.int32) for _ in range(2))
+        self.keys, self.checks = (np.zeros(1 << self.bits, np.uint64) for _ in range(2))
+        self.starts, self.lengths = (np.zeros(1 << self.bits, np.int32) for _ in range(2))
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
@@ -129,14 +130,14 @@ class Encoder:
         self.ids[self.used:self.used + total] = ids
         starts = self.used + np.cumsum(lengths) - lengths
         self.used += total
-        slots = (keys >> np.uint64(64 - MEMO_BITS)).astype(np.int64)
+        slots = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
         self.keys[slots], self.checks[slots], self.starts[slots], self.lengths[slots] = keys, checks, starts, lengths
         # of two new chunks with one slot the last stands, in all four tables alike
         return starts, lengths
 
     def _slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets of each text's ids)."""
-        if self.used > MEMO_IDS:
+        if self.used > 6 << self.bits:
             self._forget()
         edges = _edges(data, offsets, self.spaced)
         starts, ends = edges[:-1], edges[1:]
@@ -150,7 +151,7 @@ class Encoder:
             found = (sums[ends] - sums[starts]) * _power_table(inverse, len(data) + 1)[starts]
             out.append(mix(found + (ends - starts).astype(np.uint64)))
         keys, checks = keys[0], checks[0]
-        slots = (keys >> np.uint64(64 - MEMO_BITS)).astype(np.int64)
+        slots = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
         known = (self.keys[slots] == keys) & (self.checks[slots] == checks)
         first, count = self.starts[slots].astype(np.int64), self.lengths[slots].astype(np.int64)
         new = np.flatnonzero(~known)
@@ -187,11 +188,12 @@ class Encoder:
             yield first, stop, ids, places
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
+_encoders: dict[tuple[str, bool, int], Encoder] = {}
 
 
-def encoder(path: str, spaced: bool) -> Encoder:
+def encoder(path: str, spaced: bool, memo_bits: int = MEMO_BITS) -> Encoder:
     """One encoder for all tasks of a worker, so that its memo lasts."""
-    if (path, spaced) not in _encoders:
-        _encoders[path, spaced] = Encoder(path, spaced)
-    return _encoders[path, spaced]
+    key = (path, spaced, memo_bits)
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
