@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratacast.llm.common import Scratch
-from stratacast.llm.tokens import encoder
+from stratacast.llm.tokens import MEMO_BITS, encoder
 
 GROUP_PIECES = 50_000
 #: Shares of the pieces, the shortest, that only close sequences; the better result stands.
@@ -58,11 +58,11 @@ def sum_of_squares(lengths: np.ndarray, capacity: int, share: float) -> tuple[np
     return sequence, offset
 
 
-def _pieces(path: str, capacity: int, end_id: int):
+def _pieces(path: str, capacity: int, end_id: int, memo_bits: int):
     end = np.array([end_id], "<u4")
 
     def run(batches):
-        encode = encoder(path, spaced=False).encode
+        encode = encoder(path, spaced=False, memo_bits=memo_bits).encode
         for batch in batches:
             for first, stop, ids, places in encode(batch.column("text")):
                 owner, rows = [], []
@@ -95,19 +95,21 @@ def _place(capacity: int):
     return run
 
 
-def packed(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def packed(
+    docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, memo_bits: int = MEMO_BITS
+) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset): where pieces go.
 
     A document is its ids by the word vocabulary at `path`, then `end_id`; null texts count
     as empty. Only documents above `capacity` are cut, into pieces of `capacity` ids, the
     last one shorter. `offset` is the place of the piece's first id in its sequence, without
-    gaps from 0. Rows without doc_id and rows that repeat are packed like any other. Other
+    gaps from 0. `memo_bits` sets the memory for chunks already encoded. Rows without doc_id and rows that repeat are packed like any other. Other
     columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     pieces = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _pieces(path, capacity, end_id), schema
+        _pieces(path, capacity, end_id, memo_bits), schema
     ), "pieces")
     full = pieces.filter(F.col("length") == capacity)
     short = pieces.filter(F.col("length") < capacity)

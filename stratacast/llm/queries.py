@@ -103,7 +103,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op4_packing")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
-    return packed(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packed(documents(spark, folder), path, capacity=2048, end_id=0, memo_bits=21)
 
 
 @query("op6_token_files")
