@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratacast.functions.series import newest
-from stratacast.operators.ensemble import add_ensemble, with_ensemble
+from stratacast.operators.ensemble import ENSEMBLE, add_ensemble, with_ensemble
 from stratacast.operators.metrics import long_predictions
 from stratacast.operators.targets import reconstruct_fitted_prices
 from stratacast.schemas import PREDICTION_RECORD
@@ -44,7 +44,11 @@ def backtest(
 
 
 def available_series(training: DataFrame | None, configured: DataFrame | None = None) -> DataFrame:
-    """Sorted ids with data, or the configured (position, ticker) list when there is none."""
+    """Sorted ids with data, or the configured (position, ticker) list when there is none.
+
+    `training` should be a stored table: whether it holds a row is asked first, which
+    behind an aggregation would run all of it.
+    """
     if training is not None and not training.isEmpty():
         return training.select("unique_id").distinct().orderBy("unique_id")
     if configured is None:
@@ -129,7 +133,7 @@ def run_summary(training: DataFrame, models: Sequence[str]) -> DataFrame:
 
 
 def training_subset(training: DataFrame, ids: DataFrame | Sequence[str]) -> DataFrame:
-    """Rows of the wanted series; raises when none of them has data."""
+    """Rows of the wanted series of a stored table; raises when none of them has data."""
     subset = restrict_universe(training, ids)
     if subset.isEmpty():
         raise ValueError("no training data for the requested series")
@@ -137,27 +141,32 @@ def training_subset(training: DataFrame, ids: DataFrame | Sequence[str]) -> Data
 
 
 def aligned_lines(
-    actual: DataFrame, fitted: DataFrame, forecast: DataFrame, model: str = "ensemble_mean"
+    actual: DataFrame,
+    fitted: DataFrame,
+    forecast: DataFrame,
+    models: Sequence[str] = (ENSEMBLE,),
+    model: str | None = None,
 ) -> DataFrame:
     """(unique_id, ds, actual, predicted, forecast) on the union of dates.
 
-    Inputs are (unique_id, ds, value) history and long prediction records. The
-    forecast line starts on the last actual of the newest history date, so it
-    joins up with the actual line when drawn.
+    Inputs are (unique_id, ds, value) history and long prediction records of `models`.
+    Without `model` the lines are the ensemble's, or the first model's where there is
+    none. The forecast line starts on the last actual of the newest history date, so it
+    joins up with the actual line when drawn. The lines meet in one aggregate; `actual`
+    and `forecast` are read more than once, so pass stored tables.
     """
-    keys = ["unique_id", "ds"]
+    if model is None:
+        model = ENSEMBLE if ENSEMBLE in models else models[0]
+    lines = ("actual", "predicted", "forecast")
+
+    def as_line(name: str, rows: DataFrame) -> DataFrame:
+        values = (F.col("value") if line == name else F.lit(None).cast("double") for line in lines)
+        return rows.select("unique_id", "ds", *(v.alias(line) for v, line in zip(values, lines)))
+
+    past, ahead = (df.filter(F.col("model_name") == model) for df in (fitted, forecast))
     last_day = actual.agg(F.max("ds").alias("ds"))
-    anchors = (
-        actual.join(last_day, "ds", "left_semi")
-        .join(forecast.filter(F.col("model_name") == model), "unique_id", "left_semi")
-        .select(*keys, F.col("value").alias("forecast"))
-    )
-    ahead = forecast.filter(F.col("model_name") == model).select(*keys, F.col("value").alias("forecast"))
-    past = fitted.filter(F.col("model_name") == model).select(*keys, F.col("value").alias("predicted"))
-    line = anchors.unionByName(ahead).groupBy(*keys).agg(F.max("forecast").alias("forecast"))
-    return (
-        actual.select(*keys, F.col("value").alias("actual"))
-        .join(past, keys, "full_outer")
-        .join(line, keys, "full_outer")
-        .select(*keys, "actual", "predicted", "forecast")
-    )
+    forecasted = ahead.select("unique_id").distinct()
+    anchors = actual.join(last_day, "ds", "left_semi").join(forecasted, "unique_id", "left_semi")
+    rows = as_line("actual", actual).union(as_line("predicted", past))
+    rows = rows.union(as_line("forecast", ahead)).union(as_line("forecast", anchors))
+    return rows.groupBy("unique_id", "ds").agg(*(F.max(line).alias(line) for line in lines))

@@ -26,7 +26,10 @@ def save_report(df: DataFrame, path: str) -> None:
 
 
 def combine(frames: Iterable[DataFrame], ordered: bool = False) -> DataFrame:
-    """Union bar frames by column name; raises if no frame holds a row.
+    """Union stored bar frames by column name; raises if no frame holds a row.
+
+    The check reads up to one row of each scan; a frame behind an aggregation would be
+    computed for it, so write such frames first.
 
     `ordered` adds a global (range-partitioned) sort, needed only when the
     result is written for people to read.

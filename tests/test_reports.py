@@ -104,7 +104,7 @@ def test_aligned_lines_anchor_on_the_last_actual(spark):
     record = "unique_id string, ds date, model_name string, value double"
     fitted = spark.createDataFrame([("A", days[1], "m", 1.9), ("A", days[1], "other", 9.0)], record)
     ahead = spark.createDataFrame([("A", days[2], "m", 2.2), ("B", days[2], "m", 5.5)], record)
-    rows = {(r["unique_id"], r["ds"]): tuple(r)[2:] for r in reports.aligned_lines(actual, fitted, ahead, "m").collect()}
+    rows = {(r["unique_id"], r["ds"]): tuple(r)[2:] for r in reports.aligned_lines(actual, fitted, ahead, ["m"]).collect()}
     assert rows == {
         ("A", days[0]): (1.0, None, None), ("A", days[1]): (2.0, 1.9, 2.0), ("A", days[2]): (None, None, 2.2),
         ("B", days[0]): (5.0, None, None), ("B", days[2]): (None, None, 5.5),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stratacast.functions.calendar import add_calendar_features, add_date_features
 from stratacast.operators import cleanse, regular, statics, targets, technical
+from stratacast.plans.training import series_sectors
 from stratacast.schemas import BAR_VALUES, TECHNICAL_COLUMNS
 from stratacast.sources import price_files, symbols, tables
 from stratacast.sources.bars import (
@@ -13,7 +14,7 @@ from stratacast.sources.bars import (
 )
 from stratacast.sources.scratch import new_folder
 from workload.fixtures import (
-    SIMPLE, quotes, sectors, simple_ahead, simple_fit, table, training, universe,
+    SIMPLE, quotes, sectors, simple_ahead, simple_fit, stored, table, training, universe,
 )
 from workload.registry import query
 from workload.views import W
@@ -69,13 +70,12 @@ def _(spark, d):
     headed = F.concat(F.lit("Date,Open,High,Low,Close,Volume\n"), F.col("text"))
     payloads = (
         table(spark, d, "pages").select(F.lit("page").alias("source"), F.col("page_id").alias("item"), F.col("html").alias("text"))
-        .union(documents.select(F.lit("document"), "doc_id", "text"))
-        .union(documents.select(F.lit("headed"), "doc_id", headed))
-    )
-    usable, rejected = price_files.split_payloads(payloads, "text")
-    return usable.withColumn("issue", F.lit(None).cast("string")).union(rejected).withColumn(
-        "valid", F.col("issue").isNull()
+        .union(documents.select(
+            F.col("doc_id"), F.explode(F.create_map(F.lit("document"), F.col("text"), F.lit("headed"), headed)).alias("source", "text")
+        ).select("source", "doc_id", "text"))
     )
+    issue = price_files.payload_issue(F.col("text"))
+    return payloads.withColumn("issue", issue).withColumn("valid", F.col("issue").isNull())
 
 
 @query("A6_vendor_rename", BAR, "SELECT unique_id, CAST(ds AS TIMESTAMP) AS ds, open, high, low, close, volume FROM bars")
@@ -91,7 +91,8 @@ def _(spark, d):
 @query("A7_combine_sources", BAR, """
     SELECT * FROM bars UNION ALL SELECT * FROM brand_bars UNION ALL SELECT * FROM event_bars""")
 def _(spark, d):
-    return tables.combine([nation_bars(spark, d), brand_bars(spark, d), event_bars(spark, d)], ordered=True)
+    sources = [nation_bars(spark, d), brand_bars(spark, d), event_bars(spark, d)]
+    return tables.combine([stored(frame, "bars") for frame in sources], ordered=True)
 
 
 @query("A8_ticker_to_symbol", "ticker symbol",
@@ -135,12 +136,17 @@ def _(spark, d):
 QUOTE = f"{KEY} open high:x low:x close:x volume:x"
 
 
-@query("B1_normalize_keys", QUOTE.replace("open ", ""), "SELECT upper(unique_id) AS unique_id, CAST(ds AS DATE) AS ds, high, low, close, volume FROM quotes")
+# text forms of doubles differ between engines, so the price column that is text is compared as a number
+@query("B1_normalize_keys", f"{KEY} open:x refused:i high:x low:x close:x volume:x", """
+    SELECT upper(unique_id) AS unique_id, CAST(ds AS DATE) AS ds, TRY_CAST(open AS DOUBLE) AS open,
+           CASE WHEN open = 'R' THEN 1 ELSE 0 END AS refused, high, low, close, volume FROM quotes""")
 def _(spark, d):
-    return cleanse.normalize_keys(quotes(spark, d))
+    return cleanse.normalize_keys(quotes(spark, d)).withColumns({
+        "open": F.col("open").try_cast("double"), "refused": (F.col("open") == "R").cast("int"),
+    })
 
 
-@query("B2_coerce_numeric", f"{KEY} open:x close:x volume:x", "SELECT unique_id, ds, TRY_CAST(open AS DOUBLE) AS open, close, volume FROM quotes")
+@query("B2_coerce_numeric", QUOTE.replace("open ", "open:x "), "SELECT unique_id, ds, TRY_CAST(open AS DOUBLE) AS open, high, low, close, volume FROM quotes")
 def _(spark, d):
     return cleanse.coerce_numeric(quotes(spark, d))
 
@@ -215,9 +221,10 @@ def _(spark, d):
       SELECT b.unique_id, b.ds, coalesce(s.sector, 'Unknown') AS sector
       FROM {MIXED} b LEFT JOIN sectors s ON s.unique_id = b.unique_id)""")
 def _(spark, d):
-    return statics.add_sector_code(
-        statics.add_sector(nation_bars(spark, d).union(brand_bars(spark, d)), sectors(spark, d))
-    )
+    # codes are found on one row per series and join the facts by series, as in the training frame
+    bars = stored(nation_bars(spark, d).union(brand_bars(spark, d)), "bars")
+    named = series_sectors(bars.select("unique_id").distinct(), sectors(spark, d))
+    return bars.join(named, "unique_id", "left")
 
 
 @query("B12_sample_weight", f"{KEY} sample_weight:d", """
@@ -226,12 +233,17 @@ def _(spark, d):
     return statics.add_sample_weight(nation_bars(spark, d))
 
 
-RULES = ["close_positive", "volume_positive", "open_positive", "y_present", "sector_filled", "week_of_year_range"]
+RULES = [
+    "unique_id_filled", "sector_filled", "asset_class_filled", "ds_present", "y_present",
+    *(f"{c}_positive" for c in (*BAR_VALUES, "sample_weight", "sector_code", "asset_class_code")),
+    "is_weekend_flag", "is_month_start_flag", "is_month_end_flag", "week_of_year_range",
+]
+UNBROKEN = ", ".join(f"0 AS {rule}" for rule in RULES if rule not in ("close_positive", "volume_positive"))
 
 
-@query("B13_rule_counts", " ".join(f"{r}:i" for r in RULES), """
+@query("B13_rule_counts", " ".join(f"{r}:i" for r in RULES), f"""
     SELECT count(*) FILTER (close - 900 <= 0) AS close_positive, count(*) FILTER (volume - 30 <= 0) AS volume_positive,
-           0 AS open_positive, 0 AS y_present, 0 AS sector_filled, 0 AS week_of_year_range FROM training""")
+           {UNBROKEN} FROM training""")
 def _(spark, d):
     spoiled = training(spark, d).withColumns({"close": F.col("close") - 900, "volume": F.col("volume") - 30})
     return cleanse.rule_counts(spoiled)

@@ -34,11 +34,15 @@ def training(spark: SparkSession, folder: str, target_type: str = "log_return")
     return training_frame(nation_bars(spark, folder), sectors(spark, folder), target_type, unique=True)
 
 
+def stored(frame: DataFrame, label: str) -> DataFrame:
+    """`frame` written and read back, for queries that pass over it more than once."""
+    path = new_folder(frame.sparkSession, label)
+    save_table(frame, path)
+    return load_table(frame.sparkSession, path)
+
+
 def stored_training(spark: SparkSession, folder: str) -> DataFrame:
-    """The training frame written and read back, for queries that pass over it many times."""
-    path = new_folder(spark, "training")
-    save_table(training(spark, folder), path)
-    return load_table(spark, path)
+    return stored(training(spark, folder), "training")
 
 
 def quotes(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,6 +95,7 @@ def universe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def companies(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers in credit; the others stand for tickers that the company list does not know."""
     customer, nation = table(spark, folder, "customer"), table(spark, folder, "nation")
     return customer.filter("c_acctbal > 0").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.upper("c_name").alias("ticker"), F.col("c_name").alias("name"), F.col("n_name").alias("sector")

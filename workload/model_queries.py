@@ -14,7 +14,7 @@ from stratacast.plans import crossval, fitting, forecasting, persistence, recurs
 from stratacast.plans.full_run import full_run
 from stratacast.plans.scorers import LinearScorer
 from stratacast.plans.training import training_frame
-from stratacast.schemas import MODEL_FRAME_COLUMNS, TECHNICAL_COLUMNS, LagSpec, Settings
+from stratacast.schemas import MODEL_FRAME_COLUMNS, TECHNICAL_COLUMNS, LagSpec, Settings, ewm_name
 from stratacast.sources.bars import brand_bars, event_bars, nation_bars, order_bars
 from stratacast.sources.scratch import new_folder
 from stratacast.streaming.updates import merge_observations, refresh_state
@@ -57,15 +57,14 @@ def _(spark, d):
     return lags.keep_last(training(spark, d), 450)
 
 
-@query("F10_feature_matrix", f"{KEY} label:d first:d last:d size:i", """
-    SELECT unique_id, ds, y AS label, lag1 AS first, seasonalrollingmean_lag21_5_4 AS last, 16 AS size
-    FROM lagged WHERE rn > 41""")
+@query("F10_feature_matrix", " ".join([KEY, "label:d", *(f"{c}:d" for c in LagSpec().names), "size:i"]), f"""
+    SELECT *, y AS label, {len(LagSpec().names)} AS size FROM lagged WHERE rn > 41""")
 def _(spark, d):
     names = LagSpec().names
     matrix = lags.feature_matrix(lags.drop_warm_up(_lagged(spark, d)), names)
     x = vector_to_array("features")
     return matrix.select(
-        "unique_id", "ds", "label", x[0].alias("first"), x[len(names) - 1].alias("last"), F.size(x).alias("size")
+        "unique_id", "ds", "label", *(x[at].alias(name) for at, name in enumerate(names)), F.size(x).alias("size")
     )
 
 
@@ -125,8 +124,10 @@ def _(spark, d):
     return splits.cv_windows(training(spark, d), 2, 14, 7)
 
 
-@query("I1_future_common_date", f"{KEY} is_month_end:i week_of_year:i", f"""
-    SELECT i.unique_id, f.ds, CASE WHEN f.ds = last_day(f.ds) THEN 1 ELSE 0 END AS is_month_end, weekofyear(f.ds) AS week_of_year
+@query("I1_future_common_date", f"{KEY} is_weekend:i is_month_start:i is_month_end:i week_of_year:i month_sin:d month_cos:d", f"""
+    SELECT i.unique_id, f.ds, 0 AS is_weekend, CASE WHEN day(f.ds) = 1 THEN 1 ELSE 0 END AS is_month_start,
+           CASE WHEN f.ds = last_day(f.ds) THEN 1 ELSE 0 END AS is_month_end, weekofyear(f.ds) AS week_of_year,
+           sin(2 * pi() * month(f.ds) / 12) AS month_sin, cos(2 * pi() * month(f.ds) / 12) AS month_cos
     FROM (SELECT DISTINCT unique_id FROM panel) i,
          (SELECT ds FROM ({future_of("(SELECT 'all' AS unique_id, max(ds) AS ds FROM panel)")})) f""")
 def _(spark, d):
@@ -334,15 +335,32 @@ def _(spark, d):
     return merge_observations(training(spark, d).select("unique_id", "ds", "y"), _updates(spark, d))
 
 
-@query("K9_refresh_state", "unique_id last_ds n:i mean:d std:d level:d", f"""
+SMOOTHED = ewm_name(*LagSpec().ewm[0])
+
+
+# `hist` as its length and its values in order, each with its place as weight: one number per series
+@query("K9_refresh_state", f"unique_id last_ds n:i total:d squares:d mean:d std:d level:d hist_size:i hist_sum:d oldest:d newest:d {SMOOTHED}:d", f"""
     WITH merged AS (
       SELECT coalesce(n.unique_id, t.unique_id) AS unique_id, coalesce(n.ds, t.ds) AS ds, coalesce(n.y, t.y) AS y
-      FROM training t FULL JOIN ({ASIA_ORDERS}) n ON n.unique_id = t.unique_id AND n.ds = t.ds)
-    SELECT unique_id, max(ds) AS last_ds, count(*) AS n, avg(y) AS mean, stddev_pop(y) AS std, arg_max(y, ds) AS level
-    FROM merged GROUP BY 1""")
+      FROM training t FULL JOIN ({ASIA_ORDERS}) n ON n.unique_id = t.unique_id AND n.ds = t.ds),
+    z AS (SELECT *, row_number() OVER (PARTITION BY unique_id ORDER BY ds DESC) AS age FROM ({scaled('merged')}))
+    SELECT unique_id, max(ds) AS last_ds, count(*) AS n, sum(z) AS total, sum(z * z) AS squares,
+           any_value(mean) AS mean, any_value(std) AS std, arg_max(y, ds) AS level,
+           count(*) FILTER (age <= {LagSpec().lookback}) AS hist_size,
+           sum(z * ({LagSpec().lookback} + 1 - age)) FILTER (age <= {LagSpec().lookback}) AS hist_sum,
+           arg_min(z, ds) FILTER (age <= {LagSpec().lookback}) AS oldest, arg_max(z, ds) AS newest,
+           list_reduce(list(z ORDER BY ds) FILTER (age >= {LagSpec().ewm[0][0]}),
+                       lambda s, v: CAST(0.8 AS DOUBLE) * s + CAST(0.2 AS DOUBLE) * v) AS {SMOOTHED}
+    FROM z GROUP BY 1""")
 def _(spark, d):
     history = training(spark, d).select("unique_id", "ds", "y")
-    return refresh_state(recursive.series_state(history), history, _updates(spark, d))
+    state = refresh_state(recursive.series_state(history), history, _updates(spark, d))
+    lookback = LagSpec().lookback
+    weighed = F.zip_with("hist", F.sequence(lookback + 1 - F.size("hist"), F.lit(lookback)), lambda z, place: z * place)
+    return state.withColumns({
+        "hist_size": F.size("hist"), "oldest": F.get("hist", F.lit(0)), "newest": F.element_at("hist", -1),
+        "hist_sum": F.aggregate(weighed, F.lit(0.0), lambda a, b: a + b),
+    })
 
 
 LEVELS = (80, 95)

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from stratacast.operators import ensemble, metrics, reports
 from stratacast.operators.targets import last_prices, reconstruct_prices
+from stratacast.plans.fitting import fit
 from workload.fixtures import (
-    SIMPLE, companies, customer_days, sectors, simple_ahead, simple_cv, simple_fit, training, universe,
+    SIMPLE, companies, customer_days, sectors, simple_ahead, simple_cv, simple_fit, stored, stored_training,
+    training, universe,
 )
 from workload.registry import query
 from workload.views import W
@@ -93,7 +95,7 @@ def _(spark, d):
 
 @query("M4_available_series", "unique_id", "SELECT DISTINCT unique_id FROM customer_days")
 def _(spark, d):
-    return reports.available_series(customer_days(spark, d))
+    return reports.available_series(stored(customer_days(spark, d), "days"))
 
 
 @query("M4_configured_series", "unique_id", "SELECT DISTINCT upper(ticker) AS unique_id FROM universe")
@@ -148,16 +150,17 @@ def _(spark, d):
 
 @query("M11_run_summary", "rows:i unique_series:i start end trained_models", """
     SELECT count(*) AS rows, count(DISTINCT unique_id) AS unique_series, min(ds) AS start, max(ds) AS "end",
-           'gb,rf,ridge' AS trained_models FROM training""")
+           'enet,ridge' AS trained_models FROM training""")
 def _(spark, d):
-    return reports.run_summary(training(spark, d), ["ridge", "rf", "gb"]).withColumn(
+    panel = stored_training(spark, d)
+    return reports.run_summary(panel, list(fit(panel, ["ridge", "enet"]))).withColumn(
         "trained_models", F.array_join("trained_models", ",")
     )
 
 
 @query("M12_training_subset", f"{KEY} y:d", "SELECT * FROM training WHERE sector = 'ASIA'")
 def _(spark, d):
-    return reports.training_subset(training(spark, d), sectors(spark, d).filter("sector = 'ASIA'"))
+    return reports.training_subset(stored_training(spark, d), sectors(spark, d).filter("sector = 'ASIA'"))
 
 
 @query("M13_aligned_lines", f"{KEY} actual:d predicted:d forecast:d", f"""
@@ -174,9 +177,11 @@ def _(spark, d):
     LEFT JOIN (SELECT unique_id, ds, max(forecast) AS forecast FROM line GROUP BY 1, 2) l
       ON l.unique_id = k.unique_id AND l.ds = k.ds""")
 def _(spark, d):
-    panel = training(spark, d)
+    panel = stored_training(spark, d)
     prices = reconstruct_prices(simple_ahead(panel).drop("step"), last_prices(panel), SIMPLE, "log_return")
     ahead = reports.prediction_records(
         ensemble.add_ensemble(prices, SIMPLE), ensemble.with_ensemble(SIMPLE)
     )
-    return reports.aligned_lines(reports.history(panel, last_n=60), _backtest(panel), ahead)
+    return reports.aligned_lines(
+        stored(reports.history(panel, last_n=60), "lines"), _backtest(panel), stored(ahead, "lines"), ensemble.with_ensemble(SIMPLE)
+    )
