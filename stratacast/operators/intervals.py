@@ -35,12 +35,15 @@ def calibration_residuals(cv: DataFrame, models: Sequence[str]) -> DataFrame:
 
 
 def add_intervals(
-    forecast: DataFrame, residuals: DataFrame, models: Sequence[str], levels: Sequence[int]
+    forecast: DataFrame, residuals: DataFrame | None, models: Sequence[str], levels: Sequence[int]
 ) -> DataFrame:
     """Add `{model}-lo-{L}` and `{model}-hi-{L}`; series without residuals get NULL.
 
     Bounds are quantiles of the prediction plus and minus each residual.
     """
+    if residuals is None:
+        none = F.lit(None).cast("double")
+        return forecast.withColumns({b: none for m in models for b in bound_names(m, levels)})
     step = F.row_number().over(Window.partitionBy("unique_id").orderBy("ds"))
     joined = forecast.withColumn("step", step).join(residuals, ["unique_id", "step"], "left")
     bounds = {}

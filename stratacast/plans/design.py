@@ -92,9 +92,14 @@ def training_matrix(panel: DataFrame, design: Design) -> DataFrame:
     return feature_matrix(with_model_features(panel, design), design.features, "z")
 
 
+def held_columns(df: DataFrame, design: Design) -> list[str]:
+    """Technical and static inputs of the model that `df` has: forecasts keep their last values."""
+    return [c for c in (*TECHNICAL_COLUMNS, *MODEL_STATICS) if c in design.exogenous and c in df.columns]
+
+
 def series_ends(history: DataFrame, design: Design) -> DataFrame:
     """One row per series: last_ds, last_price, and the last day's technical and static values."""
-    held = [c for c in (*TECHNICAL_COLUMNS, *MODEL_STATICS) if c in design.exogenous and c in history.columns]
+    held = held_columns(history, design)
     price = ["close"] if "close" in history.columns else []
     last = F.max_by(F.struct(F.lit(0), *price, *held), F.col("ds"))
     ends = history.groupBy("unique_id").agg(F.max("ds").alias("last_ds"), last.alias("_last"))

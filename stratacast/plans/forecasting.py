@@ -11,7 +11,7 @@ from stratacast.operators.ensemble import add_ensemble
 from stratacast.operators.intervals import add_intervals
 from stratacast.operators.targets import reconstruct_prices
 from stratacast.plans.design import Design, future_rows, series_ends
-from stratacast.plans.recursive import forecast_targets, series_state
+from stratacast.plans.recursive import ends_of, forecast_targets, series_state
 from stratacast.sources.tables import restrict_universe
 
 
@@ -29,7 +29,7 @@ def require_history(requested: DataFrame, history: DataFrame) -> None:
 
 
 def forecast(
-    history: DataFrame,
+    history: DataFrame | None,
     models: Mapping[str, Model],
     horizon: int = 14,
     ids: Sequence[str] | DataFrame | None = None,
@@ -38,23 +38,30 @@ def forecast(
     residuals: DataFrame | None = None,
     levels: Sequence[int] = (80, 95),
     future: DataFrame | None = None,
+    state: DataFrame | None = None,
 ) -> DataFrame:
     """Wide forecasts with the ensemble, and intervals when `residuals` are given.
 
     Series are independent once the weights are fixed, so the id filter runs
     first. Series never trained on need only history; an id in `ids` without
     any raises. `future` replaces the held exogenous rows; a series that it
-    gives more or fewer than `horizon` rows fails the job.
+    gives more or fewer than `horizon` rows fails the job. A stored `state`
+    (`series_state` of a full panel, loaded or refreshed) takes the history's
+    place: one row per series is then all that is read.
     """
+    known = history if state is None else state
     if ids is not None:
         asked = ids
         if not isinstance(ids, DataFrame):
-            asked = history.sparkSession.createDataFrame([(i,) for i in ids], "unique_id string")
-        require_history(asked, history)
-    known = restrict_universe(history, ids)
-    ends = series_ends(known, design)
+            asked = known.sparkSession.createDataFrame([(i,) for i in ids], "unique_id string")
+        require_history(asked, known)
+        known = restrict_universe(known, ids)
+    if state is None:
+        ends, known = series_ends(known, design), series_state(known, design)
+    else:
+        ends = ends_of(known, design)
     rows = future_rows(ends, horizon, design) if future is None else future
-    wide = forecast_targets(series_state(known, design), rows, models, horizon, design).drop("step")
+    wide = forecast_targets(known, rows, models, horizon, design).drop("step")
     names = list(models)
     if return_prices:
         wide = reconstruct_prices(wide, ends, names, design.target_type)

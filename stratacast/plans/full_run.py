@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stratacast.operators.cleanse import quality_report, validate_rows
 from stratacast.operators.metrics import best_model, summarize_cv
 from stratacast.operators.ensemble import with_ensemble
-from stratacast.plans.crossval import calibrate, cross_validate
+from stratacast.plans.crossval import calibrate, cross_validate, short_series
 from stratacast.plans.design import Design
 from stratacast.plans.fitting import fit, fitted_values
 from stratacast.plans.forecasting import forecast
@@ -42,7 +42,9 @@ def full_run(
     """Every stage's table is written to `folder`, and later stages read it back.
 
     Reading back cuts the lineage: a lost executor costs a re-read, not a
-    recomputation of the run so far.
+    recomputation of the run so far. Where no series is long enough to calibrate
+    intervals the run goes on without them, and `intervals` in the summary says
+    so; `short_series` lists what cross-validation leaves out.
     """
     design = Design.of(settings)
     save_table(training_frame(raw, sectors, settings.target_type), f"{folder}/training")
@@ -58,27 +60,32 @@ def full_run(
         settings.random_state, overrides,
     )
     save_table(cv, f"{folder}/cv")
+    save_report(
+        short_series(training, design, settings.cv_windows, settings.horizon, settings.cv_step_size), f"{folder}/short_series"
+    )
     cv = load_table(spark, f"{folder}/cv")
     save_table(summarize_cv(cv, with_ensemble(models)), f"{folder}/cv_summary")
     cv_summary = load_table(spark, f"{folder}/cv_summary")
 
     residuals = None
     if settings.enable_prediction_intervals:
-        save_table(
-            calibrate(training, models, settings.horizon, design=design,
-                      seed=settings.random_state, overrides=overrides),
-            f"{folder}/residuals",
+        residuals = calibrate(
+            training, models, settings.horizon, design=design, seed=settings.random_state, overrides=overrides,
         )
+    if residuals is not None:
+        save_table(residuals, f"{folder}/residuals")
         residuals = load_table(spark, f"{folder}/residuals")
+
+    codes = training.select("sector", "sector_code").distinct()
+    save_models(spark, f"{folder}/model", fitted, design, series_state(training, design), codes)
+    # the stored state holds all a forecast needs: the history is not read again
+    state = load_table(spark, f"{folder}/model/state")
     save_table(
-        forecast(training, fitted, settings.horizon, design=design, residuals=residuals, levels=settings.levels),
+        forecast(None, fitted, settings.horizon, design=design, residuals=residuals, levels=settings.levels, state=state),
         f"{folder}/forecasts",
     )
     forecasts = load_table(spark, f"{folder}/forecasts")
 
-    codes = training.select("sector", "sector_code").distinct()
-    save_models(spark, f"{folder}/model", fitted, design, series_state(training, design), codes)
-
     counts = {
         name: load_table(spark, f"{folder}/{table}").count()
         for name, table in (("fitted_rows", "fitted"), ("cv_rows", "cv"), ("forecast_rows", "forecasts"))
@@ -87,6 +94,7 @@ def full_run(
         F.count(F.lit(1)).alias("rows"), F.count_distinct("unique_id").alias("series")
     ).withColumns({
         **{name: F.lit(n).cast("bigint") for name, n in counts.items()},
+        "intervals": F.lit(residuals is not None),
         "best_model": F.lit(best_model(cv_summary).first()[0]),
         "model_path": F.lit(f"{folder}/model"),
     })

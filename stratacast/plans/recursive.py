@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from stratacast.functions.series import add_ewm, lagged, rank_from_end
 from stratacast.operators.ensemble import PERCENT_FLOOR
-from stratacast.plans.design import Design, transformed_panel
+from stratacast.plans.design import Design, held_columns, transformed_panel
 from stratacast.plans.scorers import Scorer, portable
 from stratacast.schemas import LagSpec, ewm_name
 
@@ -31,10 +31,15 @@ def series_state(panel: DataFrame, design: Design = Design()) -> DataFrame:
 
     unique_id, last_ds, n, total, squares (of z), mean, std, level (last y),
     hist (last z values, oldest first, at most the lookback long) and one
-    smoothed value per exponential feature.
+    smoothed value per exponential feature; from a panel that has them also
+    last_price and the last day's technical and static values, so that prices
+    can be forecast from the state alone.
     """
     spec = design.lag_spec
-    df = transformed_panel(panel.select("unique_id", "ds", "y"), design)
+    price = [F.col("close").alias("last_price")] if "close" in panel.columns else []
+    held = held_columns(panel, design)
+    ends = [*(["last_price"] if price else []), *held]
+    df = transformed_panel(panel.select("unique_id", "ds", "y", *price, *held), design)
     smoothed = {}
     for lag, alpha in spec.ewm:
         name = ewm_name(lag, alpha)
@@ -44,7 +49,7 @@ def series_state(panel: DataFrame, design: Design = Design()) -> DataFrame:
         df = df.withColumn(raw, lagged(raw, lag - 1))
         smoothed[name] = raw
     tail = F.collect_list(F.when(F.col("_age") <= max(spec.lookback, 1), F.struct("ds", "z")))
-    return (
+    state = (
         df.withColumn("_age", rank_from_end()).groupBy("unique_id").agg(
             F.max("ds").alias("last_ds"),
             F.count("z").alias("n"),
@@ -55,8 +60,16 @@ def series_state(panel: DataFrame, design: Design = Design()) -> DataFrame:
             F.max_by("y", F.col("ds")).alias("level"),
             F.transform(F.array_sort(tail), lambda e: e["z"]).alias("hist"),
             *(F.max_by(raw, F.col("ds")).alias(name) for name, raw in smoothed.items()),
+            *([F.max_by(F.struct(*ends), F.col("ds")).alias("_end")] if ends else []),
         )
     )
+    return state.withColumns({c: F.col("_end")[c] for c in ends}).drop("_end") if ends else state
+
+
+def ends_of(state: DataFrame, design: Design) -> DataFrame:
+    """The part of a state from which future rows and price paths follow, as `series_ends` gives it."""
+    price = ["last_price"] if "last_price" in state.columns else []
+    return state.select("unique_id", "last_ds", *price, *held_columns(state, design))
 
 
 def with_future(state: DataFrame, future: DataFrame, design: Design) -> DataFrame:

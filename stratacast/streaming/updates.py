@@ -27,7 +27,9 @@ def refresh_state(
 ) -> DataFrame:
     """State after `latest`: rebuilt for the series it touches, kept for the others.
 
-    `history` and `latest` are (unique_id, ds, y). Model weights do not change.
+    `history` and `latest` are (unique_id, ds, y), or panels with all columns that the
+    state was made from; a state that also holds prices refuses bare ones. Model weights
+    do not change.
     """
     if state is None:
         raise RuntimeError("no forecast state: fit first")

@@ -345,6 +345,35 @@ def test_boosting_rounds(panel):
     assert ranking.count() == 2 and ahead.count() == 3 * 5
 
 
+def test_forecast_from_saved_state_equals_forecast_from_history(spark, panel, tmp_path):
+    design = Design()
+    models = fitting.fit(panel, ["ridge"], design)
+    state = recursive.series_state(panel, design)
+    folder = persistence.save_models(
+        spark, str(tmp_path / "m"), models, design, state, panel.select("sector", "sector_code").distinct()
+    )
+    saved = persistence.load_models(spark, folder)
+    order = ["unique_id", "ds"]
+    known = panel.select("unique_id").first()[0]
+    for ids in (None, [known]):
+        a = forecasting.forecast(None, saved.models, 3, ids=ids, design=saved.design, state=saved.state).orderBy(*order).toPandas()
+        b = forecasting.forecast(panel, models, 3, ids=ids, design=design).orderBy(*order).toPandas()
+        pd.testing.assert_frame_equal(a, b)
+    with pytest.raises(ValueError, match="NOBODY"):
+        forecasting.forecast(None, saved.models, 3, ids=["NOBODY"], design=saved.design, state=saved.state)
+
+
+def test_cross_validation_bounds_and_none_to_calibrate_on(panel):
+    cv, _ = crossval.cross_validate(panel, ["ridge"], 1, 5, design=PAIR, levels=(80,))
+    rows = cv.toPandas()
+    assert (rows["ridge-lo-80"] <= rows["ridge"]).all() and (rows["ridge"] <= rows["ridge-hi-80"]).all()
+    short = lags.keep_last(panel, PAIR.warm_up + 2 * 5)
+    assert crossval.calibrate(short, ["ridge"], 5, design=PAIR) is None
+    cv, _ = crossval.cross_validate(short, ["ridge"], 1, 5, design=PAIR, levels=(80,))
+    rows = cv.toPandas()
+    assert len(rows) and rows["ridge-lo-80"].isna().all()
+
+
 def test_full_run_counts(spark, raw_bars, tmp_path):
     settings = Settings(enable_prediction_intervals=True, horizon=5, cv_step_size=3)
     run = full_run(spark, raw_bars, None, str(tmp_path / "run"), ["ridge"], settings)

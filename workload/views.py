@@ -220,6 +220,11 @@ VIEWS |= ridge_of("r", "training")
 for fold, age in ((0, 28), (1, 14)):
     VIEWS[f"calibration{fold}"] = f"SELECT unique_id, ds, y, close FROM aged WHERE age > {age}"
 VIEWS |= ridge_of("c0", "calibration0") | ridge_of("c1", "calibration1", weights="c0_w")
+# each fold's own calibration: two windows at the end of its training rows, one fit
+for fold, off in ((0, 7), (1, 0)):
+    for part, age in ((0, 28), (1, 14)):
+        VIEWS[f"f{fold}part{part}"] = f"SELECT unique_id, ds, y, close FROM aged WHERE age > {off + 14 + age}"
+    VIEWS |= ridge_of(f"f{fold}c0", f"f{fold}part0") | ridge_of(f"f{fold}c1", f"f{fold}part1", weights=f"f{fold}c0_w")
 VIEWS["universe"] = "SELECT c_custkey AS position, lower(c_name) || '.us' AS ticker FROM customer"
 VIEWS["companies"] = """
     SELECT upper(c_name) AS ticker, c_name AS name, n_name AS sector
