@@ -6,7 +6,7 @@ else models score through `transform`.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Protocol
 
 import numpy as np
@@ -52,6 +52,11 @@ class TreeScorer:
         return self.value[at] @ self.weights
 
 
+def first_trees(scorer: TreeScorer, count: int) -> TreeScorer:
+    """The sum of the first trees only: what boosting had after `count` rounds."""
+    return replace(scorer, roots=scorer.roots[:count], weights=scorer.weights[:count])
+
+
 def _tree_scorer(model: Model) -> TreeScorer:
     """Read the node table Spark saves with a model; its size is set by trees and depth."""
     spark = SparkSession.active()

@@ -13,7 +13,7 @@ from stratacast.plans.design import (
 )
 from stratacast.plans.full_run import full_run
 from stratacast.plans.models import FACTORIES, build, label_stats, models_of
-from stratacast.plans.scorers import LinearScorer, portable
+from stratacast.plans.scorers import LinearScorer, first_trees, portable
 from stratacast.plans.training import training_frame
 from stratacast.schemas import TECHNICAL_COLUMNS, LagSpec, Settings
 from stratacast.streaming.updates import merge_observations, refresh_state
@@ -345,6 +345,14 @@ def test_boosting_rounds(panel):
     assert ranking.count() == 2 and ahead.count() == 3 * 5
 
 
+def test_a_short_fit_is_a_prefix_of_a_long_one(panel):
+    fits = {
+        n: portable(fitting.fit(panel, ["lgbm"], overrides={"lgbm": {"maxDepth": 3, "maxIter": n}})["lgbm"]) for n in (2, 4)
+    }
+    x = np.random.default_rng(5).normal(size=(50, len(Design().features)))
+    assert np.allclose(first_trees(fits[4], 2).predict(x), fits[2].predict(x))
+
+
 def test_forecast_from_saved_state_equals_forecast_from_history(spark, panel, tmp_path):
     design = Design()
     models = fitting.fit(panel, ["ridge"], design)

@@ -470,8 +470,7 @@ def _(spark, d):
 
 @query("K14_boosting_rounds", f"{KEY} lgbm:d")
 def _(spark, d):
-    _, ahead = crossval.select_boosting_rounds(stored_training(spark, d), rounds=(1, 2), overrides={"maxDepth": 2})
-    return ahead
+    return crossval.select_boosting_rounds(stored_training(spark, d))[1]
 
 
 @query("K15_save_and_load", f"{KEY} ridge:d", "SELECT unique_id, ds, ridge FROM r_ahead WHERE step > 0")
