@@ -230,8 +230,10 @@ def _cells(store: DataFrame, labels: DataFrame, halves: int, grown_only: bool) -
     )
     tables = placed.select("class_id", F.coalesce("label", "class_id").alias("label"), F.explode("a").alias("key"))
     counts = tables.groupBy("key", "label").agg(F.count("*").alias("n"))
+    # `rows` is evaluated twice below; of components that count the same, both must see the same one as top
     mixed = counts.groupBy("key").agg(
-        F.sum("n").alias("n"), F.count("*").alias("labels"), F.max("n").alias("most"), F.max_by("label", "n").alias("top")
+        F.sum("n").alias("n"), F.count("*").alias("labels"), F.max("n").alias("most"),
+        F.max_by("label", F.struct("n", "label")).alias("top"),
     ).filter("labels > 1").selectExpr(
         "key", "top", f"ceil(n / {BLOCK}) AS blocks", f"ceil((n - most) / {BLOCK}) AS ask_blocks"
     )
