@@ -4,7 +4,8 @@ Base patterns report what is a secret by its form alone: assignments to a passwo
 name, access key identifiers, long hexadecimal runs. Weak candidates are not reported for
 themselves: a random-looking token could be anything, a login name or an address is no
 secret. They are reported when complementary parts of one credential occur in one scope: an
-identifier with a secret, or a secret with an endpoint, within REACH characters. Parts are
+identifier with a secret, or a secret with an endpoint, within REACH characters. A token
+has 20 characters at least, and no upper bound. Parts are
 joined by interval: each part stands in the stretches of REACH characters that its reach
 touches, so that a join on (text, stretch) meets all pairs and few others.
 
@@ -28,7 +29,7 @@ BASE = (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX))
 WEAK = (
     ("login", r"(?i:\b(?:user(?:name)?|login|account|client_?id)\b)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.@=-]{3,}", "id"),
     ("random", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[0-9])(?=[A-Za-z0-9+/_=-]*[a-z])(?=[A-Za-z0-9+/_=-]*[A-Z])"
-               r"[A-Za-z0-9+/_=-]{20,128}+(?![A-Za-z0-9+/_=-])", "secret"),
+               r"[A-Za-z0-9+/_=-]{20,}+(?![A-Za-z0-9+/_=-])", "secret"),
     ("endpoint", r"\b(?:https?|ftp|ssh|jdbc:[a-z]+|mysql|postgres(?:ql)?|mongodb|redis|amqp)://[^\s\"'<>]+", "endpoint"),
 )
 #: Base kinds also are parts: an access identifier needs its secret, and so on.
