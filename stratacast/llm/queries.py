@@ -7,9 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stratacast.llm.common import documents
+from stratacast.llm.common import Scratch, documents
 from stratacast.llm.decontaminate import contained_items
 from stratacast.llm.language import languages
+from stratacast.llm.merkle import manifest
 from stratacast.llm.near_duplicates import near_duplicates
 from stratacast.llm.packing import packed
 from stratacast.llm.quality_rules import quality
@@ -137,3 +138,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_quality_rules")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return quality(documents(spark, folder), table(spark, folder, "labels"))
+
+
+@query("op12_merkle_manifest")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest(documents(spark, folder), Scratch(spark, "manifest"))
