@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from stratacast.llm.common import Scratch, documents
+from stratacast.llm.conversations import repaired
 from stratacast.llm.decontaminate import contained_items
 from stratacast.llm.language import languages
 from stratacast.llm.merkle import manifest
@@ -143,3 +144,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_merkle_manifest")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return manifest(documents(spark, folder), Scratch(spark, "manifest"))
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return repaired(table(spark, folder, "conversations"))
