@@ -18,6 +18,7 @@ from stratacast.llm.quality_rules import quality
 from stratacast.llm.repeated_passages import repeated_passages
 from stratacast.llm.secrets import scan_secrets
 from stratacast.llm.sharding import sharded
+from stratacast.llm.substring_dedup import substring_dedup
 from stratacast.llm.token_files import new_root, read_token_files, write_token_files
 from stratacast.llm.toxicity import toxicity
 
@@ -149,3 +150,8 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_conversation_repair")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return repaired(table(spark, folder, "conversations"))
+
+
+@query("op13_substring_dedup")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup(documents(spark, folder), Scratch(spark, "substrings"), window=35)
