@@ -14,6 +14,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratacast.plans.gram import GramRegression
+
 # Hyper-parameters of the model zoo.
 RIDGE_ALPHA = 1.0
 ENET_ALPHA, ENET_L1_RATIO = 0.01, 0.5
@@ -45,24 +47,14 @@ def label_stats(matrix: DataFrame, weight_col: str | None = None) -> LabelStats:
     return LabelStats(seen["n"], seen["s"] or 1.0)
 
 
-# The normal-equation solver reads the data once however many iterations it needs.
-# Constant features make it iterate, so it is told to go on to full precision.
-SOLVER = {"solver": "normal", "standardization": False, "maxIter": 10000, "tol": 1e-14}
-
-
 def ridge(seed: int, stats: LabelStats, **overrides) -> Estimator:
-    # Spark divides the label by its deviation, so the penalty per row is scaled back by it
-    penalty = RIDGE_ALPHA * stats.spread / stats.rows
-    return LinearRegression(**{**SOLVER, "elasticNetParam": 0.0, "regParam": penalty, **overrides})
+    """sum (y - b0 - x b)^2 + alpha |b|^2, solved exactly from the Gram aggregate."""
+    return GramRegression(**{"alpha": RIDGE_ALPHA, "l1_ratio": 0.0, **overrides})
 
 
 def elastic_net(seed: int, stats: LabelStats, **overrides) -> Estimator:
-    # the same label scaling leaves the L1 part alone and divides the L2 part
-    lasso = ENET_ALPHA * ENET_L1_RATIO
-    square = ENET_ALPHA * (1 - ENET_L1_RATIO) * stats.spread
-    return LinearRegression(**{
-        **SOLVER, "regParam": lasso + square, "elasticNetParam": lasso / (lasso + square), **overrides,
-    })
+    """Squares / 2n + alpha (l1_ratio |b|_1 + (1 - l1_ratio) |b|^2 / 2), by coordinate descent."""
+    return GramRegression(**{"alpha": ENET_ALPHA, "l1_ratio": ENET_L1_RATIO, **overrides})
 
 
 def huber(seed: int, stats: LabelStats, **overrides) -> Estimator:
