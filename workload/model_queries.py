@@ -11,7 +11,9 @@ from stratacast.operators import ensemble, future, intervals, lags, metrics, sca
 from stratacast.operators.regular import regularize
 from stratacast.operators.targets import last_prices
 from stratacast.plans import crossval, fitting, forecasting, persistence, recursive
+from stratacast.plans.design import Design
 from stratacast.plans.full_run import full_run
+from stratacast.plans.models import ENET_ALPHA, ENET_L1_RATIO, RIDGE_ALPHA
 from stratacast.plans.scorers import LinearScorer
 from stratacast.plans.training import training_frame
 from stratacast.schemas import MODEL_FRAME_COLUMNS, TECHNICAL_COLUMNS, LagSpec, Settings, ewm_name
@@ -222,6 +224,118 @@ def _(spark, d):
     return _coefficients(spark, {"ridge": models["ridge"]})
 
 
+def _design_terms(spark, models, design):
+    terms = [
+        (name, term, float(value))
+        for name, m in models.items()
+        for term, value in zip(["intercept", *design.features], [m.intercept, *m.coefficients.toArray()])
+    ]
+    terms = [(name, term, 0.0 if abs(value) < 1e-12 else value) for name, term, value in terms]
+    return spark.createDataFrame(terms, "model string, term string, value double")
+
+
+DEFAULT_DESIGN = Design()
+_DATE_SQL = {"dayofweek": "isodow(ds) - 1", "month": "month(ds)", "quarter": "quarter(ds)",
+             "week_of_month": "floor((day(ds) - 1) / 7) + 1"}
+
+
+def _design_rows_sql(design: Design) -> str:
+    """The model matrix of `training` in SQL: label z, x the features in the design's order."""
+    shifted = ", ".join(f"lag({c}, {design.technical_shift}) OVER {W} AS shifted_{c}" for c in TECHNICAL_COLUMNS)
+    parts = []
+    for name in design.features:
+        if name in _DATE_SQL:
+            parts.append(_DATE_SQL[name])
+        elif name in TECHNICAL_COLUMNS:
+            parts.append(f"shifted_{name}")
+        else:
+            parts.append(name)
+    listed = ", ".join(f"CAST({p} AS DOUBLE)" for p in parts)
+    return f"SELECT z AS label, [{listed}] AS x FROM (SELECT *, {shifted} FROM lagged_z) WHERE rn > {design.warm_up}"
+
+
+def _gram_sql(design: Design) -> str:
+    """CTEs m (rows), mu, c (centred cells), gram, cross: the moments the fits need."""
+    p = len(design.features)
+    return f"""
+    m AS ({_design_rows_sql(design)}),
+    numbered AS (SELECT row_number() OVER () AS rid, label, x FROM m),
+    cells AS (SELECT rid, label, i, x[i] AS v FROM numbered, range(1, {p + 1}) t(i)),
+    mx AS (SELECT i, avg(v) AS mi FROM cells GROUP BY i),
+    my AS (SELECT avg(label) AS my, count(*) AS n FROM m),
+    c AS (SELECT rid, i, v - mi AS d, label - my AS dy FROM cells JOIN mx USING (i), my),
+    gram AS (SELECT a.i, b.i AS j, sum(a.d * b.d) AS g FROM c a JOIN c b ON a.rid = b.rid GROUP BY 1, 2),
+    cross_ AS (SELECT i, sum(d * dy) AS c FROM c GROUP BY i)"""
+
+
+def _gauss_jordan(matrix: str, p: int) -> str:
+    """Solve the augmented p x (p + 1) list `matrix` without pivoting (its left part is positive definite)."""
+    return f"""list_reduce(range({p}), lambda acc, k: list_transform(range({p}), lambda i: list_transform(range({p + 1}),
+        lambda j: CASE WHEN i = k THEN acc[k + 1][j + 1] / acc[k + 1][k + 1]
+                       ELSE acc[i + 1][j + 1] - acc[i + 1][k + 1] * acc[k + 1][j + 1] / acc[k + 1][k + 1] END)),
+        {matrix})"""
+
+
+def _terms_sql(model: str, design: Design, solved: str) -> str:
+    """Rows (model, term, value): intercept, then one per feature; |value| < 1e-12 as 0 on both sides."""
+    p = len(design.features)
+    names = ", ".join(f"'{n}'" for n in design.features)
+    return f"""
+    w AS ({solved}),
+    b AS (SELECT i, w.s[i][{p + 1}] AS beta FROM w, range(1, {p + 1}) t(i)),
+    t AS (SELECT 'intercept' AS term, (SELECT my FROM my) - sum(beta * mi) AS value FROM b JOIN mx USING (i)
+          UNION ALL SELECT [{names}][i], beta FROM b)
+    SELECT '{model}' AS model, term, CASE WHEN abs(value) < 1e-12 THEN 0.0 ELSE value END AS value FROM t"""
+
+
+def _ridge_sql(design: Design) -> str:
+    p = len(design.features)
+    rows = f"""(SELECT list(r ORDER BY i) FROM (
+        SELECT g.i, list(g.g + CASE WHEN g.i = g.j THEN {RIDGE_ALPHA} ELSE 0 END ORDER BY g.j) || [any_value(x.c)] AS r
+        FROM gram g JOIN cross_ x ON x.i = g.i GROUP BY g.i))"""
+    return "WITH " + _gram_sql(design) + "," + _terms_sql("ridge", design, f"SELECT {_gauss_jordan(rows, p)} AS s")
+
+
+def _enet_sql(design: Design, sweeps: int = 400) -> str:
+    """Coordinate descent for the support and signs, then the exact solve on that support."""
+    p = len(design.features)
+    lasso, square = ENET_ALPHA * ENET_L1_RATIO, ENET_ALPHA * (1 - ENET_L1_RATIO)
+    update = f"""list_transform(range({p}), lambda j: CASE WHEN j <> t % {p} THEN b[j + 1] ELSE
+        sign(z.cr[j + 1] - list_sum(list_transform(range({p}), lambda q: z.cv[j + 1][q + 1] * b[q + 1])) + z.cv[j + 1][j + 1] * b[j + 1])
+        * greatest(abs(z.cr[j + 1] - list_sum(list_transform(range({p}), lambda q: z.cv[j + 1][q + 1] * b[q + 1]))
+                       + z.cv[j + 1][j + 1] * b[j + 1]) - {lasso}, 0) / (z.cv[j + 1][j + 1] + {square}) END)"""
+    return "WITH " + _gram_sql(design) + f""",
+    z AS (SELECT (SELECT list(r ORDER BY i) FROM (SELECT i, list(g / (SELECT n FROM my) ORDER BY j) AS r FROM gram GROUP BY i)) AS cv,
+                 (SELECT list(c / (SELECT n FROM my) ORDER BY i) FROM cross_) AS cr),
+    cd AS (SELECT cv, cr, list_reduce(range({sweeps * p}), lambda b, t: {update},
+                                      list_transform(range({p}), lambda q: CAST(0 AS DOUBLE))) AS b0 FROM z),
+    aug AS (SELECT list_transform(range({p}), lambda i: CASE WHEN b0[i + 1] = 0
+              THEN list_transform(range({p + 1}), lambda j: CASE WHEN j = i THEN CAST(1 AS DOUBLE) ELSE 0 END)
+              ELSE list_transform(range({p}), lambda j: CASE WHEN b0[j + 1] = 0 THEN 0
+                     ELSE cv[i + 1][j + 1] + CASE WHEN i = j THEN {square} ELSE 0 END END)
+                   || [cr[i + 1] - {lasso} * sign(b0[i + 1])] END) AS a FROM cd),""" + _terms_sql(
+        "enet", design, f"SELECT {_gauss_jordan('a', p)} AS s FROM aug")
+
+
+TERMS = "model term value:d"
+
+
+@query("J1_ridge_all_features", TERMS, _ridge_sql(DEFAULT_DESIGN))
+def _(spark, d):
+    return _design_terms(spark, fitting.fit(stored_training(spark, d), ["ridge"]), DEFAULT_DESIGN)
+
+
+@query("J2_elastic_net_all_features", TERMS, _enet_sql(DEFAULT_DESIGN))
+def _(spark, d):
+    return _design_terms(spark, fitting.fit(stored_training(spark, d), ["enet"]), DEFAULT_DESIGN)
+
+
+@query("K1_fit_all_features", TERMS, _ridge_sql(DEFAULT_DESIGN))
+def _(spark, d):
+    models = fitting.fit(stored_training(spark, d), ["ridge", "enet", "sgd"])
+    return _design_terms(spark, {"ridge": models["ridge"]}, DEFAULT_DESIGN)
+
+
 @query("K2_fill_missing_features", f"{KEY} naive:d mean5:d", """
     SELECT unique_id, ds, coalesce(naive, 0) AS naive, coalesce(mean5, 0) AS mean5 FROM simple_fit""")
 def _(spark, d):
