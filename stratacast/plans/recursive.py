@@ -48,7 +48,9 @@ def series_state(panel: DataFrame, design: Design = Design()) -> DataFrame:
         # the value the next row's feature takes: `lag` rows before it
         df = df.withColumn(raw, lagged(raw, lag - 1))
         smoothed[name] = raw
-    tail = F.collect_list(F.when(F.col("_age") <= max(spec.lookback, 1), F.struct("ds", "z")))
+    tail = F.collect_list(F.when(F.col("_age") <= max(spec.lookback, 1), F.struct("ds", "z", "_r")))
+    # the scaled series in its own units: y, or its day-to-day change for prices
+    df = df.withColumn("_r", F.col("y") - F.col("_before"))
     state = (
         df.withColumn("_age", rank_from_end()).groupBy("unique_id").agg(
             F.max("ds").alias("last_ds"),
@@ -60,6 +62,11 @@ def series_state(panel: DataFrame, design: Design = Design()) -> DataFrame:
             F.max_by("y", F.col("ds")).alias("level"),
             F.transform(F.array_sort(tail), lambda e: e["z"]).alias("hist"),
             *(F.max_by(raw, F.col("ds")).alias(name) for name, raw in smoothed.items()),
+            # raw moments and tail, from which `advance_state` goes on with new rows alone
+            F.count("_r").alias("raw_n"),
+            F.avg("_r").alias("raw_mean"),
+            F.sum((F.col("_r") - F.col("mean")) * (F.col("_r") - F.col("mean"))).alias("raw_m2"),
+            F.transform(F.array_sort(tail), lambda e: e["_r"]).alias("raw_tail"),
             *([F.max_by(F.struct(*ends), F.col("ds")).alias("_end")] if ends else []),
         )
     )
