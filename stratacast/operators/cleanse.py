@@ -45,13 +45,18 @@ def deduplicate(
 ) -> DataFrame:
     """One row per key: the smallest by `order_by`, then by the other columns.
 
-    Written as an aggregate rather than a row_number window, so copies collapse
-    on the map side and a key with very many copies never gathers in one task.
+    First a hash aggregate over all columns, which collapses exact copies on the map side however many
+    there are; only the distinct versions of a key are then ordered, by an aggregate
+    rather than a row_number window, so a key with very many copies never gathers in
+    one task and raw rows are never sorted.
     """
     rest = [c for c in df.columns if c not in keys]
     ranked = [*order_by, *(c for c in rest if c not in order_by)]
+    # the count keeps the optimiser from folding the collapse into the min; equal rows are
+    # one row by then, so it never decides
+    versions = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
     return (
-        df.groupBy(*keys).agg(F.min(F.struct(*ranked)).alias("_kept"))
+        versions.groupBy(*keys).agg(F.min(F.struct(*ranked, "_copies")).alias("_kept"))
         .select(*keys, *(F.col("_kept")[c].alias(c) for c in rest))
     )
 

@@ -17,6 +17,40 @@ from stratacast.schemas import BAR_COLUMNS
 INTERVALS = {"d": "day", "w": "week", "m": "month"}
 
 
+#: Bits of each integral type in the packed order key; a decimal(38,0) holds 126.
+_BITS = {"bigint": 64, "int": 32, "smallint": 16, "tinyint": 8, "date": 32, "timestamp": 64, "timestamp_ntz": 64}
+_ROOM = 126
+
+
+def packed_order(df: DataFrame, order: Sequence[str]) -> tuple[Column, list[str]]:
+    """An order-preserving decimal(38,0) of the leading integral columns of `order` that fit.
+
+    Returns the key and the columns it holds. The first column keeps its sign; each next
+    one is shifted into [0, 2**bits) and appended. Hash aggregation takes min/max over
+    it, as it is one fixed-width value, where a struct would need rows sorted.
+    """
+    types = dict(df.dtypes)
+    key, used, bits = None, [], 0
+    for name in order:
+        width = _BITS.get(types.get(name, ""))
+        if width is None or bits + width > _ROOM:
+            break
+        value = F.col(name)
+        if types[name] == "date":
+            value = F.unix_date(value)
+        elif types[name].startswith("timestamp"):
+            value = F.unix_micros(value.cast("timestamp"))
+        value = value.cast("decimal(38,0)")
+        if key is None:
+            key = value
+        else:
+            key = key * F.lit(2 ** width).cast("decimal(38,0)") + value + F.lit(2 ** (width - 1)).cast("decimal(38,0)")
+            key = key.cast("decimal(38,0)")
+        used.append(name)
+        bits += width
+    return key, used
+
+
 def transactions_to_bars(
     df: DataFrame,
     unique_id: Column,
@@ -25,19 +59,32 @@ def transactions_to_bars(
     size: Column,
     order: Sequence[str],
 ) -> DataFrame:
-    """One bar per (unique_id, day)."""
+    """One bar per (unique_id, day).
+
+    Open and close are the prices at the smallest and largest `order`. The leading
+    integral order columns are packed into one key (`packed_order`) and open and close
+    come from min_by / max_by over it, all in one hash aggregate that combines before
+    the shuffle; raw rows are never sorted. The packed columns must identify a
+    transaction (as (l_orderkey, l_linenumber), o_orderkey and ts of one event type
+    do): rows equal in all of them are copies of one trade, and if their prices differ,
+    which of them is taken is not fixed. Without an integral leading column, the whole
+    order is compared as a struct (sorted aggregate).
+    """
+    key, used = packed_order(df, order)
+    if key is None:
+        key = F.struct(*order, price.alias("_price"))
     ranked = df.select(
         unique_id.alias("unique_id"),
         day.cast("date").alias("ds"),
         price.alias("_price"),
         size.cast("double").alias("_size"),
-        F.struct(*order, price.alias("_price")).alias("_at"),
+        key.alias("_at"),
     )
     return ranked.groupBy("unique_id", "ds").agg(
-        F.min("_at")["_price"].alias("open"),
+        F.min_by("_price", "_at").alias("open"),
         F.max("_price").alias("high"),
         F.min("_price").alias("low"),
-        F.max("_at")["_price"].alias("close"),
+        F.max_by("_price", "_at").alias("close"),
         F.sum("_size").alias("volume"),
     )
 
