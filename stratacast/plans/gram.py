@@ -16,7 +16,7 @@ from pyspark.ml.common import _py2java
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Coordinate descent stops when no weight moves by more than this (relative), or after
@@ -32,11 +32,21 @@ def width(matrix: DataFrame, column: str = "features") -> int:
     return len(matrix.select(column).first()[0])
 
 
-def moments(matrix: DataFrame, weight_col: str | None = None, features: str = "features", label: str = "label"):
-    """(total weight, means of x, mean of y, X'WX centred, X'Wy centred) of `matrix`."""
+def moments(matrix: DataFrame, weight_col: str | None = None, features: str = "features", label: str = "label",
+            weight: Column | None = None, shift: tuple | None = None):
+    """(total weight, means of x, mean of y, X'WX centred, X'Wy centred) of `matrix`.
+
+    `weight`, an expression over `x` (array), `y` and the weight column, replaces the weights.
+    With `shift` (means of x and y near the true ones), one pass of sums about the shift
+    instead of two; the centring is then corrected on the driver.
+    """
     p = width(matrix, features)
     w = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
     rows = matrix.select(vector_to_array(features).alias("x"), F.col(label).cast("double").alias("y"), w.alias("w"))
+    if weight is not None:
+        rows = rows.withColumn("w", weight)
+    if shift is not None:
+        return _shifted_moments(rows, p, *shift)
     first = rows.agg(
         F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("sy"),
         *(F.sum(F.col("w") * F.col("x")[i]).alias(f"s{i}") for i in range(p)),
@@ -60,6 +70,26 @@ def moments(matrix: DataFrame, weight_col: str | None = None, features: str = "f
     return n, mean_x, mean_y, gram, cross
 
 
+def _shifted_moments(rows: DataFrame, p: int, shift_x: np.ndarray, shift_y: float):
+    dx = [F.col("x")[i] - F.lit(float(shift_x[i])) for i in range(p)]
+    dy = F.col("y") - F.lit(float(shift_y))
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    got = rows.agg(
+        F.sum("w").alias("n"), F.sum(F.col("w") * dy).alias("sy"),
+        *(F.sum(F.col("w") * dx[i]).alias(f"s{i}") for i in range(p)),
+        *(F.sum(F.col("w") * dx[i] * dx[j]).alias(f"g{i}_{j}") for i, j in pairs),
+        *(F.sum(F.col("w") * dx[i] * dy).alias(f"c{i}") for i in range(p)),
+    ).first()
+    n = float(got["n"])
+    off_x = np.array([got[f"s{i}"] / n for i in range(p)])
+    off_y = got["sy"] / n
+    gram = np.zeros((p, p))
+    for i, j in pairs:
+        gram[i, j] = gram[j, i] = got[f"g{i}_{j}"] - n * off_x[i] * off_x[j]
+    cross = np.array([got[f"c{i}"] - n * off_x[i] * off_y for i in range(p)])
+    return n, shift_x + off_x, shift_y + off_y, gram, cross
+
+
 def ridge_weights(gram: np.ndarray, cross: np.ndarray, alpha: float) -> np.ndarray:
     """argmin |y - Xb|^2 + alpha |b|^2 on centred data; columns without variance get 0."""
     live = np.diag(gram) > 0
@@ -70,11 +100,12 @@ def ridge_weights(gram: np.ndarray, cross: np.ndarray, alpha: float) -> np.ndarr
     return out
 
 
-def elastic_net_weights(gram: np.ndarray, cross: np.ndarray, n: float, alpha: float, l1_ratio: float) -> np.ndarray:
-    """argmin |y - Xb|^2 / 2n + alpha l1_ratio |b|_1 + alpha (1 - l1_ratio) |b|^2 / 2."""
+def elastic_net_weights(gram: np.ndarray, cross: np.ndarray, n: float, alpha: float, l1_ratio: float,
+                        start: np.ndarray | None = None) -> np.ndarray:
+    """argmin |y - Xb|^2 / 2n + alpha l1_ratio |b|_1 + alpha (1 - l1_ratio) |b|^2 / 2, from `start`."""
     cov, cor = gram / n, cross / n
     lasso, square = alpha * l1_ratio, alpha * (1 - l1_ratio)
-    beta = np.zeros(len(cross))
+    beta = np.zeros(len(cross)) if start is None else np.array(start, float)
     for _ in range(SWEEPS):
         moved = 0.0
         for j in range(len(beta)):
@@ -118,6 +149,60 @@ class GramRegression(Estimator):
         return linear_model(dataset.sparkSession, beta, intercept, self.uid)
 
 
+class HuberRegression(Estimator):
+    """Huber loss with an elastic-net penalty, by iteratively reweighted least squares.
+
+    Minimises sum_i h(y_i - b0 - x_i b) / n + alpha (l1_ratio |b|_1 + (1 - l1_ratio) |b|^2 / 2),
+    h(r) = r^2 / 2 within `epsilon`, epsilon |r| - epsilon^2 / 2 beyond. Each step weights
+    rows by min(1, epsilon / |r|) from the last fit (a majoriser of the loss, so the
+    objective never rises), aggregates the weighted Gram matrix in one pass and solves the
+    penalised weighted least squares on the driver by coordinate descent.
+    """
+
+    def __init__(self, alpha: float, l1_ratio: float, epsilon: float, max_iter: int = 500, tol: float = 1e-12,
+                 weight_col: str | None = None):
+        super().__init__()
+        self.alpha, self.l1_ratio, self.epsilon = alpha, l1_ratio, epsilon
+        self.max_iter, self.tol, self.weight_col = max_iter, tol, weight_col
+
+    def setWeightCol(self, name: str) -> HuberRegression:  # noqa: N802  (Spark's name)
+        self.weight_col = name
+        return self
+
+    def copy(self, extra=None) -> HuberRegression:
+        return HuberRegression(self.alpha, self.l1_ratio, self.epsilon, self.max_iter, self.tol, self.weight_col)
+
+    def _fit(self, dataset: DataFrame) -> LinearRegressionModel:
+        rows = float(dataset.count()) if self.weight_col is None else None
+        base = None
+        beta, intercept, shift, steps = None, 0.0, None, 0
+        for _ in range(self.max_iter):
+            weight = None
+            if beta is not None:
+                fitted = F.lit(intercept)
+                for j, b in enumerate(beta):
+                    if b:
+                        fitted = fitted + F.col("x")[j] * F.lit(float(b))
+                gap = F.abs(F.col("y") - fitted)
+                weight = F.col("w") * F.when(gap <= self.epsilon, F.lit(1.0)).otherwise(F.lit(self.epsilon) / gap)
+            n, mean_x, mean_y, gram, cross = moments(dataset, self.weight_col, weight=weight, shift=shift)
+            shift = (mean_x, mean_y)
+            steps += 1
+            if base is None:
+                base = rows if rows is not None else n
+            new = elastic_net_weights(gram, cross, base, self.alpha, self.l1_ratio, start=beta)
+            new_intercept = float(mean_y - mean_x @ new)
+            moved = 0.0 if beta is None else max(np.abs(new - beta).max(initial=0.0), abs(new_intercept - intercept))
+            settled = beta is not None and moved <= self.tol * (1.0 + np.abs(new).max(initial=0.0) + abs(new_intercept))
+            beta, intercept = new, new_intercept
+            if settled:
+                break
+        else:
+            raise RuntimeError(f"reweighting did not settle in {self.max_iter} steps")
+        self.steps = steps
+        return linear_model(dataset.sparkSession, beta, intercept, self.uid)
+
+
 def linear_model(spark, beta: np.ndarray, intercept: float, uid: str) -> LinearRegressionModel:
     """A Spark `LinearRegressionModel` with these weights (features in, prediction out)."""
     jvm = spark.sparkContext._jvm

@@ -13,7 +13,7 @@ from stratacast.operators.targets import last_prices
 from stratacast.plans import crossval, fitting, forecasting, persistence, recursive
 from stratacast.plans.design import Design
 from stratacast.plans.full_run import full_run
-from stratacast.plans.models import ENET_ALPHA, ENET_L1_RATIO, RIDGE_ALPHA
+from stratacast.plans.models import ENET_ALPHA, ENET_L1_RATIO, HUBER_ALPHA, HUBER_EPSILON, HUBER_L1_RATIO, RIDGE_ALPHA
 from stratacast.plans.scorers import LinearScorer
 from stratacast.plans.training import training_frame
 from stratacast.schemas import MODEL_FRAME_COLUMNS, TECHNICAL_COLUMNS, LagSpec, Settings, ewm_name
@@ -189,7 +189,39 @@ def _(spark, d):
     return _coefficients(spark, fitting.fit(stored_training(spark, d), ["enet"], ONE_LAG))
 
 
-@query("J3_huber", "model term value:d")
+# Huber loss with the elastic-net penalty, by the same reweighting: each step weights rows
+# by min(1, epsilon / |r|) from the last fit, then coordinate descent on two weights
+HUBER_SQL = f"""
+WITH RECURSIVE d AS (SELECT z AS y, x1, x5 FROM r_z WHERE x5 IS NOT NULL),
+rows_ AS (SELECT count(*) AS n FROM d),
+it(k, b0, b1, b5, moved) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+  UNION ALL
+  SELECT k + 1, my - c[1] * m1 - c[2] * m5, c[1], c[2], greatest(abs(c[1] - b1), abs(c[2] - b5), abs(my - c[1] * m1 - c[2] * m5 - b0))
+  FROM (
+    SELECT k, b0, b1, b5, m1, m5, my,
+      list_reduce(range(200), lambda b, t: CASE WHEN t % 2 = 0
+          THEN [sign(c1 - v15 * b[2]) * greatest(abs(c1 - v15 * b[2]) - {HUBER_ALPHA * HUBER_L1_RATIO}, 0) / (v11 + {HUBER_ALPHA * (1 - HUBER_L1_RATIO)}), b[2]]
+          ELSE [b[1], sign(c5 - v15 * b[1]) * greatest(abs(c5 - v15 * b[1]) - {HUBER_ALPHA * HUBER_L1_RATIO}, 0) / (v55 + {HUBER_ALPHA * (1 - HUBER_L1_RATIO)})] END,
+        [CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)]) AS c
+    FROM (
+      SELECT k, b0, b1, b5, sw, m1, m5, my,
+        (s11 - sw * m1 * m1) / n AS v11, (s55 - sw * m5 * m5) / n AS v55, (s15 - sw * m1 * m5) / n AS v15,
+        (s1y - sw * m1 * my) / n AS c1, (s5y - sw * m5 * my) / n AS c5
+      FROM (
+        SELECT k, b0, b1, b5, any_value(n) AS n, sum(w) AS sw, sum(w * x1) / sum(w) AS m1, sum(w * x5) / sum(w) AS m5,
+          sum(w * y) / sum(w) AS my, sum(w * x1 * x1) AS s11, sum(w * x5 * x5) AS s55, sum(w * x1 * x5) AS s15,
+          sum(w * x1 * y) AS s1y, sum(w * x5 * y) AS s5y
+        FROM (SELECT k, b0, b1, b5, n, x1, x5, y, CASE WHEN k = 0 THEN 1
+                     ELSE least(1, {HUBER_EPSILON} / abs(y - b0 - b1 * x1 - b5 * x5)) END AS w
+              FROM it, d, rows_ WHERE moved > 1e-13 AND k < 2000)
+        GROUP BY k, b0, b1, b5)))),
+last_ AS (SELECT * FROM it ORDER BY k DESC LIMIT 1)
+SELECT 'sgd' AS model, 'intercept' AS term, b0 AS value FROM last_
+UNION ALL SELECT 'sgd', 'lag1', b1 FROM last_ UNION ALL SELECT 'sgd', 'lag5', b5 FROM last_"""
+
+
+@query("J3_huber", "model term value:d", HUBER_SQL)
 def _(spark, d):
     return _coefficients(spark, fitting.fit(stored_training(spark, d), ["sgd"], TWO_LAGS))
 
