@@ -6,7 +6,8 @@ consecutive ones become H(left || right) (hex text); a run of one at the end of
 becomes H(itself); a lone node is the group's root. The group roots, in group order,
 make the top tree the same way.
 
-Only every `C`-th level is written. A stored level is made from the one below it by
+Nodes are kept as their 32 bytes and turned into hex text only where they are hashed or
+returned. Only every `C`-th level is written. A stored level is made from the one below it by
 aligned blocks of 2**C nodes: one group of at most 2**C rows rebuilds the C levels in
 between (higher-order array functions, no Python) and keeps only its top node. Proofs
 come from the same blocks: each block regenerates its interior nodes from the stored
@@ -33,7 +34,13 @@ def field(value: Column) -> Column:
 
 
 def digest(*parts: Column) -> Column:
-    return F.sha2(F.concat(*parts), 256)
+    """H of the concatenated text, kept as its 32 bytes."""
+    return F.unhex(F.sha2(F.concat(*parts), 256))
+
+
+def text(node: Column) -> Column:
+    """A node as the lowercase hex text that enters its parent's H."""
+    return F.lower(F.hex(node))
 
 
 def _group_key(column: Column) -> Column:
@@ -50,7 +57,7 @@ def _up(level: Column) -> Column:
     """The level above: H(pair) for each pair, H(node) for a run of one."""
     return F.transform(
         F.sequence(F.lit(0), F.ceil(F.size(level) / 2).cast("int") - 1),
-        lambda k: F.sha2(F.concat(F.get(level, 2 * k), F.coalesce(F.get(level, 2 * k + 1), F.lit(""))), 256),
+        lambda k: digest(text(F.get(level, 2 * k)), F.coalesce(text(F.get(level, 2 * k + 1)), F.lit(""))),
     )
 
 
@@ -123,6 +130,8 @@ def tree(nodes: DataFrame, scratch: Scratch, label: str) -> tuple[DataFrame, Dat
     parts = paths[0].select("grp", "idx", F.lit(0).alias("base"), "path")
     for part in paths[1:]:
         parts = parts.unionByName(part.select("grp", "idx", "base", "path"))
+    # written once (32-byte siblings): the proofs below read it instead of the plans
+    # of every level, which keeps the driver's plans small
     parts = scratch.save(parts, f"{label}-paths")
     wanted = nodes.select("grp", "idx").join(sizes, "grp").select(
         "grp", F.col("idx").alias("leaf"),
@@ -149,16 +158,16 @@ def numbered(frame: DataFrame, group: str, order: list, scratch: Scratch, name:
     before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(group, "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     out = sorted_rows.join(counts, [group, "_part"]).withColumn("idx", F.col("_offset") + F.col("_mid") - F.col("_first"))
-    return scratch.save(out.drop("_part", "_mid", "_first", "_offset"), name)
+    return out.drop("_part", "_mid", "_first", "_offset")
 
 
 def _fold(start: Column, path: Column) -> Column:
     """The root reached from `start` by the steps of `path`."""
     return F.aggregate(
         path, start,
-        lambda acc, s: F.when(s["sibling"].isNull(), F.sha2(acc, 256))
-        .when(s["right"], F.sha2(F.concat(s["sibling"], acc), 256))
-        .otherwise(F.sha2(F.concat(acc, s["sibling"]), 256)),
+        lambda acc, s: F.when(s["sibling"].isNull(), digest(text(acc)))
+        .when(s["right"], digest(text(s["sibling"]), text(acc)))
+        .otherwise(digest(text(acc), text(s["sibling"]))),
     )
 
 
@@ -204,9 +213,10 @@ def manifest(docs: DataFrame, scratch: Scratch) -> DataFrame:
     start = F.when(F.col("tampered"), F.col("changed")).otherwise(F.col("leaf"))
     folded = _fold(start, path)
     return joined.select(
-        "doc_id", "lang", "leaf", "subroot", "root",
-        F.sha2(F.array_join(F.transform(path, lambda s: s["sibling"]), ""), 256).alias("proof_sha256"),
+        "doc_id", "lang", text(F.col("leaf")).alias("leaf"), text(F.col("subroot")).alias("subroot"),
+        text(F.col("root")).alias("root"),
+        F.sha2(F.array_join(F.transform(path, lambda s: text(s["sibling"])), ""), 256).alias("proof_sha256"),
         "tampered",
-        folded.alias("folded_root"),
+        text(folded).alias("folded_root"),
         (folded == F.col("root")).alias("verified"),
     )
