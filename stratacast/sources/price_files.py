@@ -69,16 +69,28 @@ def rejected_price_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "ticker", payload_issue(F.col("content")).alias("issue")).filter("issue is not null")
 
 
+#: Cells read from one line of a price file; a vendor file has seven.
+CELLS = 64
+_CELL_SCHEMA = ", ".join(f"c{i} string" for i in range(CELLS))
+
+
+def csv_cells(line: Column) -> Column:
+    """The cells of one CSV line as strings, quotes honoured (`"1,234.5"` is one cell)."""
+    parsed = F.from_csv(line, _CELL_SCHEMA, {"mode": "PERMISSIVE"})
+    return F.array(*(parsed[f"c{i}"] for i in range(CELLS)))
+
+
 def read_price_csv(spark: SparkSession, path: str) -> DataFrame:
     """Scan price files named `<ticker>.csv`, or folders named `unique_id=<ticker>`.
 
-    Columns are found by each file's own header. A file that lacks one fails the job and is
+    Columns are found by each file's own header, cells split as CSV (quoted cells may hold
+    commas; a quoted header is read as its names). A file that lacks one fails the job and is
     named; files that are no price data at all are left out (`rejected_price_files`). One
     ticker's file is read whole, so it must fit in a task.
     """
     lines = F.split("content", r"\r?\n")
     files = _price_files(spark, path).filter(is_valid_payload(F.col("content"))).select(
-        "path", "ticker", F.transform(F.split(F.get(lines, 0), ","), lambda name: F.trim(name)).alias("header"), lines.alias("lines")
+        "path", "ticker", F.transform(csv_cells(F.get(lines, 0)), lambda name: F.trim(name)).alias("header"), lines.alias("lines")
     )
     missing = F.array_except(F.array(*(F.lit(c) for c in VENDOR_COLUMNS)), "header")
     refusal = F.raise_error(F.concat(
@@ -87,7 +99,7 @@ def read_price_csv(spark: SparkSession, path: str) -> DataFrame:
     checked = files.withColumn("header", F.when(F.size(missing) == 0, F.col("header")).otherwise(refusal))
     rows = checked.select("ticker", "header", F.posexplode("lines").alias("at", "line")).filter(
         (F.col("at") > 0) & (F.trim("line") != "")
-    ).withColumn("cells", F.split("line", ","))
+    ).withColumn("cells", csv_cells(F.col("line")))
     named = rows.select("ticker", *(
         F.trim(F.get("cells", (F.array_position("header", c) - 1).cast("int"))).alias(c) for c in VENDOR_COLUMNS
     ))

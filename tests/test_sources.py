@@ -101,3 +101,12 @@ def test_weekly_bars(spark):
     ]
     with pytest.raises(ValueError):
         resample_bars(df, "y")
+
+
+def test_quoted_cells_stay_in_their_columns(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('"Date","Open","High","Low","Close","Volume"\n'
+                                    '2024-01-02,"1,234.5",2000,1000,1500,10\n2024-01-03,"7",8,6,"7.5",20\n')
+    rows = price_files.read_price_csv(spark, str(tmp_path)).orderBy("ds").collect()
+    got = [(r.open, r.high, r.low, r.close, r.volume) for r in rows]
+    # a thousands separator is no number: that one cell is empty, the others keep their places
+    assert got == [(None, 2000.0, 1000.0, 1500.0, 10.0), (7.0, 8.0, 6.0, 7.5, 20.0)]
