@@ -1,40 +1,16 @@
-"""Bars and deduplication aggregate by hash; raw rows are never sorted."""
+"""Deduplication collapses copies by hash before it orders what is left."""
 
 import datetime as dt
 
 from pyspark.sql import functions as F
 
 from stratacast.operators.cleanse import deduplicate
-from stratacast.sources.bars import packed_order, transactions_to_bars
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_bars_take_open_and_close_by_a_packed_key_without_sorting(spark):
-    rows = [(1, 2, dt.date(2024, 1, 1), 10.0, 1.0), (1, 1, dt.date(2024, 1, 1), 11.0, 2.0),
-            (2, 7, dt.date(2024, 1, 1), 12.0, 1.0), (-5, 3, dt.date(2024, 1, 1), 9.0, 1.0),
-            (3, 1, dt.date(2024, 1, 2), 5.0, 1.0)]
-    df = spark.createDataFrame(rows, "k long, n int, day date, price double, size double")
-    bars = transactions_to_bars(df, F.lit("A"), F.col("day"), F.col("price"), F.col("size"), ["k", "n"])
-    assert "SortAggregate" not in plan(bars) and "Sort " not in plan(bars)
-    got = {r.ds: (r.open, r.close, r.volume) for r in bars.collect()}
-    assert got == {dt.date(2024, 1, 1): (9.0, 12.0, 5.0), dt.date(2024, 1, 2): (5.0, 5.0, 1.0)}
-
-
-def test_packed_key_keeps_the_order_of_its_columns(spark):
-    import itertools
-    values = [-2**63, -7, 0, 5, 2**63 - 1]
-    small = [-2**31, 0, 2**31 - 1]
-    rows = list(itertools.product(values, small))
-    df = spark.createDataFrame(rows, "a long, b int")
-    key, used = packed_order(df, ["a", "b"])
-    assert used == ["a", "b"]
-    got = [(r.a, r.b) for r in df.orderBy(key).collect()]
-    assert got == sorted(rows)
-
-
 def test_deduplicate_collapses_copies_by_hash_before_ordering(spark):
     rows = [("A", dt.date(2024, 1, 1), 1.0, 2.0, 0.5, 1.5, 10.0)] * 50 + [
         ("A", dt.date(2024, 1, 1), 0.9, 2.0, 0.5, 1.5, 10.0), ("B", dt.date(2024, 1, 1), 3.0, 3.0, 3.0, 3.0, 1.0)]
