@@ -1,8 +1,9 @@
 """Substring dedup: remove the words of every 35-word window that occurs twice or more.
 
-Method: a compressed FM-index per shard. Windows are first fingerprinted (64-bit, in
-numpy) so that only windows whose fingerprint occurs twice or more are looked at; the
-words they cover form each document's candidate regions. Documents are dealt into
+Method: a compressed FM-index per shard. First a pruning: runs of `size` words are
+fingerprinted (64-bit, in numpy) and winnowed, one chosen per window; the windows around
+chosen runs whose fingerprint occurs twice or more form each document's candidate
+regions (a repeated window always holds such a run, see `minimisers`). Documents are dealt into
 shards of about `shard_words` candidate words; per shard, the regions are indexed by
 the Burrows-Wheeler transform of their word ids, held in a wavelet matrix of packed bit
 planes with rank samples. Every document is streamed, region by region, to each shard
@@ -41,9 +42,9 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text) if text else []
 
 
-def fingerprints(words: list[str], window: int) -> np.ndarray:
-    """64-bit fingerprints of every `window`-word window, in order (none if fewer words)."""
-    n = len(words) - window + 1
+def fingerprints(words: list[str], size: int) -> np.ndarray:
+    """64-bit fingerprints of every `size`-word run, in order (none if fewer words)."""
+    n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     codes, uniques = pd.factorize(pd.Series(words, dtype=object))
@@ -51,7 +52,24 @@ def fingerprints(words: list[str], window: int) -> np.ndarray:
                          np.uint64, len(uniques))[codes]
     sums = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(hashed * _power_table(_BASE, len(words)), out=sums[1:])
-    return mix((sums[window:] - sums[:n]) * _power_table(_INVERSE, n))
+    return mix((sums[size:] - sums[:n]) * _power_table(_INVERSE, n))
+
+
+def minimisers(words: list[str], window: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, fingerprints) of the `size`-word runs chosen by winnowing.
+
+    In every stretch of window - size + 1 consecutive runs (the runs of one `window`-word
+    window) the smallest fingerprint, leftmost on ties, is chosen. A window that occurs
+    twice has the same runs in both places, so both choose the same run: every repeated
+    window holds a chosen run whose fingerprint occurs twice or more.
+    """
+    runs = fingerprints(words, size)
+    if len(words) < window or not len(runs):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    span = window - size + 1
+    stretches = np.lib.stride_tricks.sliding_window_view(runs, span)
+    chosen = np.unique(np.argmin(stretches, axis=1) + np.arange(len(stretches)))
+    return chosen.astype(np.int64), runs[chosen]
 
 
 # -- the index -------------------------------------------------------------------------
@@ -165,39 +183,40 @@ class ShardIndex:
 # -- Spark steps -----------------------------------------------------------------------
 
 
-def _window_rows(window: int):
+def _window_rows(window: int, size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fps, uids, places = [], [], []
             for uid, text in zip(batch["uid"], batch["text"]):
-                found = fingerprints(words_of(text), window)
+                at, found = minimisers(words_of(text), window, size)
                 fps.append(found.view(np.int64))
                 uids.append(np.full(len(found), uid, np.int64))
-                places.append(np.arange(len(found), dtype=np.int64))
+                places.append(at)
             if fps:
                 yield pd.DataFrame({"fp": np.concatenate(fps), "uid": np.concatenate(uids),
                                     "place": np.concatenate(places)})
     return run
 
 
-def _merge(places: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Word ranges covered by windows starting at `places`."""
+def _merge(places: np.ndarray, window: int, size: int, count: int) -> list[tuple[int, int]]:
+    """Word ranges of all windows that hold a chosen run starting at one of `places`."""
     out = []
     for p in np.sort(places):
-        if out and p <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], p + window)
+        start, stop = max(int(p) + size - window, 0), min(int(p) + window, count)
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], stop)
         else:
-            out.append([int(p), int(p) + window])
+            out.append([start, stop])
     return [tuple(r) for r in out]
 
 
-def _regions(window: int):
+def _regions(window: int, size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for uid, shard, text, places in zip(batch["uid"], batch["shard"], batch["text"], batch["places"]):
                 listed = words_of(text)
-                for start, stop in _merge(np.asarray(places, np.int64), window):
+                for start, stop in _merge(np.asarray(places, np.int64), window, size, len(listed)):
                     rows.append((uid, shard, start, listed[start:stop]))
             yield pd.DataFrame(rows, columns=["uid", "shard", "start", "words"])
     return run
@@ -245,30 +264,37 @@ def _kept(window: int):
     return run
 
 
-def substring_dedup(docs: DataFrame, scratch: Scratch, window: int = 35, shard_words: int = 4_000_000,
+def substring_dedup(docs: DataFrame, scratch: Scratch, window: int = 35, size: int = 10, shard_words: int = 2_000_000,
                     batch_words: int = 2_000_000) -> DataFrame:
     """Words of `docs` (doc_id, text) covered by a repeated `window`-word window.
 
-    Words are maximal runs of characters other than space, tab, line feed, vertical tab,
+    `docs` must read the same rows in the same order each time (a table): row ids are
+    taken from places in it, so that the text is not copied. Words are maximal runs of
+    characters other than space, tab, line feed, vertical tab,
     form feed and carriage return, taken unchanged. A window counts when its word
     sequence also starts at any other place, in the same document or another; every word
     it covers is removed. Rows that repeat are separate documents (so their windows
     repeat). Null or empty text: no words. Other columns are ignored. Returns per row:
     doc_id, n_words, n_removed, kept_sha256 (sha256 of the kept words joined by one space).
     """
-    rows = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-                        .withColumn("uid", F.monotonically_increasing_id()), "rows")
-    windows = scratch.save(rows.select("uid", "text").mapInPandas(_window_rows(window), "fp long, uid long, place long"),
+    # ids by place in the input, the same each time the table is read; the text is not copied
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+                       ).withColumn("uid", F.monotonically_increasing_id())
+    windows = scratch.save(rows.select("uid", "text").mapInPandas(_window_rows(window, size), "fp long, uid long, place long"),
                            "windows")
     shared = windows.groupBy("fp").agg(F.count("*").alias("n")).filter("n >= 2").select("fp")
     candidates = scratch.save(windows.join(shared, "fp", "left_semi"), "candidates")
-    total = candidates.select(F.countDistinct("uid").alias("docs"), F.count("*").alias("n")).first()
-    shards = max(1, math.ceil((total["n"] or 0) / shard_words))
-    home = F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int")
     starts = candidates.groupBy("uid").agg(F.collect_list("place").alias("places"))
-    regions = rows.join(starts, "uid").select("uid", home.alias("shard"), "text", "places").mapInPandas(
-        _regions(window), "uid long, shard int, start long, words array<string>")
-    regions = scratch.save(regions, "regions")
+    regions = rows.join(starts, "uid").select("uid", F.lit(0).alias("shard"), "text", "places").mapInPandas(
+        _regions(window, size), "uid long, shard int, start long, words array<string>")
+    regions = scratch.save(regions.drop("shard"), "regions")
+    # shards of about `shard_words` words of regions; a batch of asked words is never
+    # smaller than a shard, so the copies of an index stay below the words asked of it
+    total = regions.agg(F.sum(F.size("words"))).first()[0] or 0
+    shards = max(1, math.ceil(total / shard_words))
+    batch_words = max(batch_words, shard_words)
+    home = F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int")
+    regions = regions.withColumn("shard", home)
     placed = candidates.select("fp", "uid", home.alias("shard"))
     reach = placed.select("fp", "shard").distinct()
     routes = scratch.save(placed.select("fp", "uid").join(reach, "fp").select("uid", "shard").distinct(), "routes")

@@ -45,10 +45,10 @@ def test_suffix_array_and_counts_match_plain_sorting():
             assert count[i] == n and (matched[i] == size) == (n > 0)
 
 
-@pytest.mark.parametrize("window,shard_words,batch_words", [(4, 40, 30), (35, 100_000, 100_000), (35, 300, 200)])
-def test_query_equals_plain_count(spark, frame, odd_rows, window, shard_words, batch_words):
+@pytest.mark.parametrize("window,size,shard_words,batch_words", [(4, 2, 40, 30), (4, 4, 40, 30), (35, 10, 100_000, 100_000), (35, 10, 300, 200), (35, 1, 300, 200)])
+def test_query_equals_plain_count(spark, frame, odd_rows, window, size, shard_words, batch_words):
     rows = odd_rows + [(200, "x " * 34 + "y"), (201, "x " * 36), (202, "é ü " * 40)]
-    got = substring_dedup(frame(rows), Scratch(spark, "test"), window=window, shard_words=shard_words,
+    got = substring_dedup(frame(rows), Scratch(spark, "test"), window=window, size=size, shard_words=shard_words,
                           batch_words=batch_words).collect()
     assert sorted((tuple(r) for r in got), key=repr) == brute(rows, window)
 
