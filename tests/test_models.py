@@ -1,9 +1,12 @@
 import datetime as dt
+import time
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.linalg import DenseVector, VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratacast.operators import lags, scaling, splits
 from stratacast.operators.future import future_per_series, hold_technical, require_future
@@ -12,6 +15,7 @@ from stratacast.plans.design import (
     Design, future_rows, series_ends, training_matrix, with_model_features,
 )
 from stratacast.plans.full_run import full_run
+from stratacast.plans.gram import moments
 from stratacast.plans.models import FACTORIES, build, label_stats, models_of
 from stratacast.plans.scorers import LinearScorer, first_trees, portable
 from stratacast.plans.training import training_frame
@@ -119,6 +123,28 @@ def test_ridge_with_constant_features_reaches_the_optimum(panel):
     assert np.allclose(xc @ got, xc @ best, atol=1e-4)
 
 
+def test_moments_of_wide_matrices_with_gaps(spark):
+    """As one aggregate expression a cell these would be 5,150 expressions."""
+    rng, p = np.random.default_rng(3), 100
+    x, y, w = rng.normal(5, 2, (300, p)), rng.normal(size=300), rng.uniform(0.5, 2, 300)
+    rows = [(DenseVector(a), None if i == 7 else float(b), None if i == 9 else float(c))
+            for i, (a, b, c) in enumerate(zip(x, y, w))]
+    schema = T.StructType([T.StructField("features", VectorUDT()), T.StructField("label", T.DoubleType()),
+                           T.StructField("weight", T.DoubleType())])
+    matrix = spark.createDataFrame(rows, schema)
+    started = time.monotonic()
+    n, mean_x, mean_y, gram, cross = moments(matrix, "weight")
+    assert time.monotonic() - started < 30
+    kept = np.arange(300) != 9
+    known = kept & (np.arange(300) != 7)
+    assert np.isclose(n, w[kept].sum()) and np.isclose(mean_y, (w * y)[known].sum() / n)
+    assert np.allclose(mean_x, (w[:, None] * x)[kept].sum(axis=0) / n)
+    dx = x - mean_x
+    assert np.allclose(gram, (dx * w[:, None])[kept].T @ dx[kept], rtol=1e-10)
+    with pytest.raises(ValueError, match="no training rows"):
+        moments(matrix.filter("weight is null"), "weight")
+
+
 def test_elastic_net_minimises_its_objective(panel):
     model = fitting.fit(panel, ["enet"])["enet"]
     m = training_matrix(panel, Design()).toPandas()
