@@ -8,9 +8,9 @@ shards of about `shard_words` candidate words; per shard, the regions are indexe
 the Burrows-Wheeler transform of their word ids, held in a wavelet matrix of packed bit
 planes with rank samples. Every document is streamed, region by region, to each shard
 that holds one of its candidate fingerprints; backward search over the wavelet matrix
-gives, at every place, the matching statistic (how many of the next `window` words match
-somewhere in the shard, at most `window`), and the places where it reaches `window`
-with enough occurrences (two in the document's own shard, one elsewhere) are reported.
+finds windows with enough occurrences (two in the document's own shard, one elsewhere)
+that cover every word such windows cover: a search that fails rules out all windows
+that hold the failed words, and windows between two hits that touch are not asked.
 Fingerprints only route and prune; the decision is the exact search on word strings.
 
 Streamed regions are cut into batches of about `batch_words` per task, each with its own
@@ -26,72 +26,84 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratacast.llm.common import Scratch
-from stratacast.llm.words import _power_table, mix
+from stratacast.llm.words import hash_words, mix, text_slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Starts of windows that one row of a search stands for.
+PIECE = 256
+#: In place of a shard: the run is indexed in its own one.
+INDEXED = -1
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(text) if text else []
 
 
-def fingerprints(words: list[str], size: int) -> np.ndarray:
-    """64-bit fingerprints of every `size`-word run, in order (none if fewer words)."""
-    n = len(words) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    codes, uniques = pd.factorize(pd.Series(words, dtype=object))
-    hashed = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in uniques),
-                         np.uint64, len(uniques))[codes]
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(hashed * _power_table(_BASE, len(words)), out=sums[1:])
-    return mix((sums[size:] - sums[:n]) * _power_table(_INVERSE, n))
+def minimisers(hashes: np.ndarray, owner: np.ndarray, window: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(texts, places, fingerprints) of the `size`-word runs chosen by winnowing.
 
-
-def minimisers(words: list[str], window: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, fingerprints) of the `size`-word runs chosen by winnowing.
-
-    In every stretch of window - size + 1 consecutive runs (the runs of one `window`-word
-    window) the smallest fingerprint, leftmost on ties, is chosen. A window that occurs
-    twice has the same runs in both places, so both choose the same run: every repeated
-    window holds a chosen run whose fingerprint occurs twice or more.
+    `hashes` are those of the words of many texts, in order, `owner` their texts. In every
+    stretch of window - size + 1 consecutive runs (the runs of one `window`-word window)
+    the smallest fingerprint, leftmost on ties, is chosen. A window that occurs twice has
+    the same runs in both places, so both choose the same run: every repeated window holds
+    a chosen run whose fingerprint occurs twice or more.
     """
-    runs = fingerprints(words, size)
-    if len(words) < window or not len(runs):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    span = window - size + 1
-    stretches = np.lib.stride_tricks.sliding_window_view(runs, span)
-    chosen = np.unique(np.argmin(stretches, axis=1) + np.arange(len(stretches)))
-    return chosen.astype(np.int64), runs[chosen]
+    count, span = len(hashes) - size + 1, window - size + 1
+    if count < span:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    runs = np.zeros(count, np.uint64)
+    for at in range(size):
+        runs = runs * np.uint64(_BASE) + hashes[at:count + at]
+    runs = mix(runs)
+    # leftmost minimum of `width` runs by doubling; the last step overlaps
+    low, place, width = runs, np.arange(count), 1
+    while width < span:
+        step = min(width, span - width)
+        left, right = low[:-step], low[step:]
+        place = np.where(right < left, place[step:], place[:-step])
+        low, width = np.minimum(left, right), width + step
+    inside = owner[:count - span + 1] == owner[window - 1:]
+    chosen = place[inside]
+    chosen = chosen[np.concatenate(([True], chosen[1:] != chosen[:-1]))] if len(chosen) else chosen
+    texts = owner[chosen]
+    return texts, chosen - np.searchsorted(owner, texts), runs[chosen]
 
 
 # -- the index -------------------------------------------------------------------------
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffix array of an integer text by prefix doubling (shorter suffix first on ties)."""
+def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Suffix array of an integer text by prefix doubling (shorter suffix first on ties).
+
+    With `depth`, suffixes need only be in order of their first `depth` symbols, which is
+    all that a backward search for patterns below that length depends on.
+    """
     n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    step = 1
+    rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
+    bits = int(rank.max(initial=1)).bit_length()
+    step = max(62 // bits, 1)  # so many symbols make the first key
+    key = np.zeros(n, np.int64)
+    for at in range(step):
+        key <<= bits
+        key[: max(n - at, 0)] |= rank[at:]
     while True:
-        second = np.full(n, -1, np.int64)
-        second[: n - step] = rank[step:] if step < n else second[:0]
-        order = np.lexsort((second, rank))
-        a, b = rank[order], second[order]
-        change = np.ones(n, np.int64)
-        change[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        fresh = np.empty(n, np.int64)
-        fresh[order] = np.cumsum(change) - 1
-        rank = fresh
-        if rank.max(initial=0) == n - 1 or step >= n:
+        order = np.argsort(key, kind="stable")
+        listed = key[order]
+        change = np.zeros(n, np.int64)
+        change[1:] = listed[1:] != listed[:-1]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(change) + 1
+        if rank.max(initial=0) == n or step >= n or (depth is not None and step >= depth):
             return order
+        key = rank * (n + 1)
+        key[: n - step] += rank[step:]
         step *= 2
 
 
@@ -112,6 +124,13 @@ class WaveletMatrix:
             self.samples.append(np.concatenate(([0], np.cumsum(counts))))
             self.zeros.append(int(len(bits) - bits.sum()))
             current = np.concatenate((current[~bits], current[bits]))
+        # where [0, 0) ends when followed down along each symbol's bits
+        symbols = np.arange(top + 1)
+        self.base = np.zeros(top + 1, np.int64)
+        for level in range(self.levels):
+            ones = self._ones(level, self.base)
+            bit = ((symbols >> (self.levels - 1 - level)) & 1).astype(bool)
+            self.base = np.where(bit, self.zeros[level] + ones, self.base - ones)
 
     def _ones(self, level: int, upto: np.ndarray) -> np.ndarray:
         block, offset = upto >> 6, (upto & 63).astype(np.uint64)
@@ -122,39 +141,100 @@ class WaveletMatrix:
         """Occurrences of each symbol before `start` and before `stop` (vectors)."""
         # the occurrences of c before i: the width of [0, i) followed down the planes
         # along the bits of c
-        low, a, b = np.zeros_like(start), start.copy(), stop.copy()
+        at = np.concatenate((start, stop))
+        both = np.concatenate((symbols, symbols))
         for level in range(self.levels):
-            bit = ((symbols >> (self.levels - 1 - level)) & 1).astype(bool)
-            zero = self.zeros[level]
-            ones = [self._ones(level, x) for x in (low, a, b)]
-            low = np.where(bit, zero + ones[0], low - ones[0])
-            a = np.where(bit, zero + ones[1], a - ones[1])
-            b = np.where(bit, zero + ones[2], b - ones[2])
-        return a - low, b - low
+            bit = ((both >> (self.levels - 1 - level)) & 1).astype(bool)
+            ones = self._ones(level, at)
+            at = np.where(bit, self.zeros[level] + ones, at - ones)
+        at -= self.base[both]
+        return at[: len(start)], at[len(start):]
 
 
 class ShardIndex:
-    """FM-index of the regions of one shard: word ids, BWT in a wavelet matrix, C table."""
-
-    def __init__(self, regions: list[list[str]]):
-        words = [w for r in regions for w in r]
-        self.vocabulary = np.array(sorted(set(words)), dtype=object)
-        lookup = {w: i + 2 for i, w in enumerate(self.vocabulary)}
-        text = []
-        for r in regions:
-            text.extend(lookup[w] for w in r)
-            text.append(1)  # region separator; no pattern holds it
-        text.append(0)  # unique terminal
-        text = np.array(text, np.int64)
-        order = suffix_array(text)
+    """FM-index of the regions of one shard: word ids, BWT in a wavelet matrix, C table.
+
+    With `window`, suffixes are in order of so many words, enough for patterns up to it.
+    """
+
+    def __init__(self, regions: list[list[str]] | pa.ListArray, window: int | None = None):
+        if not isinstance(regions, pa.Array):
+            regions = pa.array(regions, pa.list_(pa.string()))
+        coded = regions.flatten().dictionary_encode()
+        self.vocabulary = coded.dictionary
+        lengths = pc.list_value_length(regions).to_numpy(zero_copy_only=False).astype(np.int64)
+        # 1 after each region, which no pattern holds; 0 at the end
+        text = np.ones(int(lengths.sum()) + len(lengths) + 1, np.int64)
+        inside = np.ones(len(text), bool)
+        inside[np.cumsum(lengths + 1) - 1] = False
+        inside[-1] = False
+        text[inside] = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 2
+        text[-1] = 0
+        order = suffix_array(text, None if window is None else window + 1)
         self.size = len(text)
         self.wavelet = WaveletMatrix(text[order - 1])
         counts = np.bincount(text, minlength=len(self.vocabulary) + 2)
-        self.before = np.concatenate(([0], np.cumsum(counts)))[:-1]
-        self.lookup = lookup
-
-    def ids(self, words: list[str]) -> np.ndarray:
-        return np.fromiter((self.lookup.get(w, -1) for w in words), np.int64, len(words))
+        self.before = np.concatenate(([0], np.cumsum(counts)))
+
+    def ids(self, words: list[str] | pa.Array) -> np.ndarray:
+        """Ids of words, -1 for those that the shard does not hold."""
+        if not isinstance(words, pa.Array):
+            words = pa.array(words, pa.string())
+        found = pc.fill_null(pc.index_in(words, value_set=self.vocabulary), -3)
+        return found.to_numpy(zero_copy_only=False).astype(np.int64) + 2
+
+    def covering(self, ids: np.ndarray, first: np.ndarray, last: np.ndarray, need: np.ndarray, window: int) -> np.ndarray:
+        """Start places in `ids` of windows with `need` occurrences that cover what all such windows cover.
+
+        Row i asks for the windows that start at first[i] .. last[i]. All rows go on
+        together, one backward step each at a time. A search that fails at place j, short of
+        the window's start, rules out every window from its start to j. After a hit at h
+        the window at h + `window` is next: if that is a hit too, those between add nothing.
+        If not, the last hit between them is looked for by halving what is left.
+        """
+        hits = []
+        a, b, need = first.copy(), last.copy(), need.copy()
+        after = np.zeros(len(a), bool)  # the window at a - 1 is a hit
+        halve = np.zeros(len(a), bool)  # the window at b + 1 is none
+        live = a <= b
+        a, b, need, after, halve = a[live], b[live], need[live], after[live], halve[live]
+
+        def begin(a, b, after, halve):
+            t = np.where(after, np.where(halve & (b - a < window), (a + b) >> 1, np.minimum(a - 1 + window, b)), a)
+            return t, t + window, np.zeros(len(a), np.int64), np.full(len(a), self.size, np.int64)
+
+        t, k, sp, ep = begin(a, b, after, halve)
+        while len(a):
+            k = k - 1
+            symbols = ids[k]
+            known = symbols >= 0
+            safe = np.where(known, symbols, 0)
+            low, high = self.before[safe], self.before[safe + 1]
+            inner = np.flatnonzero(known & (k < t + window - 1))  # the last word needs no rank
+            if len(inner):
+                r, q = self.wavelet.rank(safe[inner], sp[inner], ep[inner])
+                high[inner] = low[inner] + q
+                low[inner] = low[inner] + r
+            sp, ep = low, high
+            failed = ~known | (ep - sp < need)
+            hit = ~failed & (k == t)
+            done = failed | hit
+            if not done.any():
+                continue
+            hits.append(t[hit])
+            # a failed jump leaves two ranges: before t (halved), and after k
+            split = np.flatnonzero(failed & (t > a))
+            extra = (a[split], t[split] - 1, need[split], after[split], np.ones(len(split), bool))
+            a = np.where(hit, t + 1, np.where(failed, k + 1, a))
+            after = np.where(hit, True, np.where(failed, False, after))
+            going = np.flatnonzero(~done)
+            fresh = np.flatnonzero(done & (a <= b))
+            fa, fb, fn, fs, fh = (np.concatenate((x[fresh], y)) for x, y in zip((a, b, need, after, halve), extra))
+            ft, fk, fsp, fep = begin(fa, fb, fs, fh)
+            a, b, need, after, halve, t, k, sp, ep = (
+                np.concatenate((x[going], y)) for x, y in
+                zip((a, b, need, after, halve, t, k, sp, ep), (fa, fb, fn, fs, fh, ft, fk, fsp, fep)))
+        return np.sort(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
 
     def occurrences(self, ids: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
         """Per start place of `ids`: matching statistic (at most `window`) and occurrences."""
@@ -184,17 +264,15 @@ class ShardIndex:
 
 
 def _window_rows(window: int, size: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, uids, places = [], [], []
-            for uid, text in zip(batch["uid"], batch["text"]):
-                at, found = minimisers(words_of(text), window, size)
-                fps.append(found.view(np.int64))
-                uids.append(np.full(len(found), uid, np.int64))
-                places.append(at)
-            if fps:
-                yield pd.DataFrame({"fp": np.concatenate(fps), "uid": np.concatenate(uids),
-                                    "place": np.concatenate(places)})
+            uids = batch.column(0).to_numpy(zero_copy_only=False)
+            for start, _, data, offsets in text_slices(batch.column(1)):
+                hashes, _, _, owner = hash_words(data, offsets)
+                texts, places, found = minimisers(hashes, owner, window, size)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found.view(np.int64)), pa.array(uids[start + texts]), pa.array(places.astype(np.int64))],
+                    ["fp", "uid", "place"])
     return run
 
 
@@ -210,57 +288,67 @@ def _merge(places: np.ndarray, window: int, size: int, count: int) -> list[tuple
     return [tuple(r) for r in out]
 
 
+WORK = "uid long, shard int, kind int, home boolean, start long, words array<string>"
+
+
 def _regions(window: int, size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for uid, shard, text, places in zip(batch["uid"], batch["shard"], batch["text"], batch["places"]):
-                listed = words_of(text)
-                for start, stop in _merge(np.asarray(places, np.int64), window, size, len(listed)):
-                    rows.append((uid, shard, start, listed[start:stop]))
-            yield pd.DataFrame(rows, columns=["uid", "shard", "start", "words"])
+            for uid, text, home, shards, places in zip(*(batch[c] for c in ("uid", "text", "home", "shards", "places"))):
+                listed, rows = words_of(text), []
+                shards, places = np.asarray(shards, np.int64), np.asarray(places, np.int64)
+                for shard in np.unique(shards):
+                    kind = 0 if shard == INDEXED else 1
+                    for start, stop in _merge(places[shards == shard], window, size, len(listed)):
+                        rows.append((uid, home if kind == 0 else shard, kind, kind == 1 and shard == home, start, listed[start:stop]))
+                yield pd.DataFrame(rows, columns=["uid", "shard", "kind", "home", "start", "words"])
     return run
 
 
 def _search(window: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        index = ShardIndex(list(group.loc[group["kind"] == 0, "words"]))
-        asked = group[group["kind"] == 1]
-        pieces, offsets, at = [], [], 0
-        for listed in asked["words"]:
-            pieces.append(index.ids(list(listed)))
-            pieces.append(np.full(1, -1, np.int64))  # no window runs across regions
-            offsets.append(at)
-            at += len(listed) + 1
-        ids = np.concatenate(pieces) if pieces else np.zeros(0, np.int64)
-        matched, count = index.occurrences(ids, window)
-        region = np.searchsorted(np.asarray(offsets, np.int64), np.arange(len(matched)), side="right") - 1
-        need = np.where(asked["home"].to_numpy(bool), 2, 1)[region] if len(region) else np.zeros(0, np.int64)
-        hits = np.flatnonzero((matched == window) & (count >= need))
-        region = region[hits]
-        place = hits - np.asarray(offsets, np.int64)[region] + asked["start"].to_numpy(np.int64)[region] if len(hits) else hits
-        return pd.DataFrame({"uid": asked["uid"].to_numpy(np.int64)[region], "place": place.astype(np.int64)})
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        kind = group["kind"].to_numpy()
+        listed = group["words"].combine_chunks()
+        index = ShardIndex(listed.filter(pa.array(kind == 0)), window)
+        asked = group.filter(pa.array(kind == 1))
+        words = listed.filter(pa.array(kind == 1))
+        lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids = index.ids(words.flatten())
+        offsets = np.cumsum(lengths) - lengths
+        # regions in pieces, which are searched side by side
+        pieces = np.maximum(lengths - window + PIECE, 0) // PIECE
+        region = np.repeat(np.arange(len(lengths)), pieces)
+        number = np.arange(len(region)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = offsets[region] + number * PIECE
+        last = np.minimum(first + PIECE - 1, offsets[region] + lengths[region] - window)
+        need = np.where(asked["home"].to_numpy(), 2, 1).astype(np.int64)[region]
+        hits = index.covering(ids, first, last, need, window)
+        at = np.searchsorted(offsets, hits, side="right") - 1
+        place = hits - offsets[at] + asked["start"].to_numpy()[at]
+        return pa.table({"uid": asked["uid"].to_numpy()[at], "place": place})
     return run
 
 
 def _kept(window: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {"uid": [], "n_words": [], "n_removed": [], "kept_sha256": []}
-            for uid, text, places in zip(batch["uid"], batch["text"], batch["places"]):
+            n_words, n_removed, kept_sha256 = [], [], []
+            for text, places in zip(batch["text"].to_pylist(), batch["places"]):
                 listed = words_of(text)
-                cover = np.zeros(len(listed) + 1, np.int64)
-                if places is not None and len(places):
-                    p = np.asarray(places, np.int64)
+                kept = listed
+                if places.is_valid:
+                    cover = np.zeros(len(listed) + 1, np.int64)
+                    p = places.values.to_numpy()
                     np.add.at(cover, p, 1)
                     np.add.at(cover, p + window, -1)
-                removed = np.cumsum(cover)[: len(listed)] > 0
-                kept = " ".join(w for w, gone in zip(listed, removed) if not gone)
-                out["uid"].append(uid)
-                out["n_words"].append(len(listed))
-                out["n_removed"].append(int(removed.sum()))
-                out["kept_sha256"].append(hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest())
-            yield pd.DataFrame(out)
+                    kept = [w for w, depth in zip(listed, np.cumsum(cover).tolist()) if not depth]
+                n_words.append(len(listed))
+                n_removed.append(len(listed) - len(kept))
+                kept_sha256.append(hashlib.sha256(" ".join(kept).encode("utf-8", "surrogatepass")).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept_sha256, pa.string())],
+                ["doc_id", "n_words", "n_removed", "kept_sha256"])
     return run
 
 
@@ -280,36 +368,34 @@ def substring_dedup(docs: DataFrame, scratch: Scratch, window: int = 35, size: i
     # ids by place in the input, the same each time the table is read; the text is not copied
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
                        ).withColumn("uid", F.monotonically_increasing_id())
-    windows = scratch.save(rows.select("uid", "text").mapInPandas(_window_rows(window, size), "fp long, uid long, place long"),
+    windows = scratch.save(rows.select("uid", "text").mapInArrow(_window_rows(window, size), "fp long, uid long, place long"),
                            "windows")
     shared = windows.groupBy("fp").agg(F.count("*").alias("n")).filter("n >= 2").select("fp")
     candidates = scratch.save(windows.join(shared, "fp", "left_semi"), "candidates")
-    starts = candidates.groupBy("uid").agg(F.collect_list("place").alias("places"))
-    regions = rows.join(starts, "uid").select("uid", F.lit(0).alias("shard"), "text", "places").mapInPandas(
-        _regions(window, size), "uid long, shard int, start long, words array<string>")
-    regions = scratch.save(regions.drop("shard"), "regions")
-    # shards of about `shard_words` words of regions; a batch of asked words is never
-    # smaller than a shard, so the copies of an index stay below the words asked of it
-    total = regions.agg(F.sum(F.size("words"))).first()[0] or 0
-    shards = max(1, math.ceil(total / shard_words))
+    scratch.drop("windows")
+    # shards of about `shard_words` words (a chosen run stands for half a stretch of runs); a batch
+    # of asked words is never smaller than a shard, so the copies of an index stay below those asked of it
+    shards = max(1, math.ceil(candidates.count() * (window - size + 2) / 2 / shard_words))
     batch_words = max(batch_words, shard_words)
     home = F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int")
-    regions = regions.withColumn("shard", home)
-    placed = candidates.select("fp", "uid", home.alias("shard"))
-    reach = placed.select("fp", "shard").distinct()
-    routes = scratch.save(placed.select("fp", "uid").join(reach, "fp").select("uid", "shard").distinct(), "routes")
-    asked = regions.drop("shard").join(routes, "uid").select(
-        "uid", "shard", "start", "words", (F.col("shard") == home).alias("home"))
-    load = asked.groupBy("shard").agg(F.sum(F.size("words")).alias("n"))
+    placed = candidates.withColumn("home", home)
+    # a run is asked of the shards that hold it again; the whole document need not go there
+    reach = placed.groupBy("fp", F.col("home").alias("shard")).agg(F.count("*").alias("n"))
+    asked = placed.join(reach, "fp").filter("shard <> home or n >= 2").select("uid", "place", "shard")
+    starts = asked.unionByName(placed.select("uid", "place", F.lit(INDEXED).alias("shard"))).groupBy("uid").agg(
+        F.collect_list(F.struct("shard", F.col("place").cast("int").alias("place"))).alias("at"))
+    starts = starts.select("uid", home.alias("home"), F.col("at.shard").alias("shards"), F.col("at.place").alias("places"))
+    work = rows.join(starts, "uid").select("uid", "text", "home", "shards", "places").mapInPandas(_regions(window, size), WORK)
+    work = scratch.save(work, "work")
+    scratch.drop("candidates")
+    load = work.filter("kind = 1").groupBy("shard").agg(F.sum(F.size("words")).alias("n"))
     load = load.select("shard", F.greatest(F.lit(1), F.ceil(F.col("n") / batch_words)).cast("int").alias("batches"))
-    asked = asked.join(load, "shard").withColumn("batch", F.pmod(F.xxhash64("uid", "start"), F.col("batches")).cast("int"))
-    indexed = regions.join(load, "shard").select(
-        "uid", "shard", "start", "words", F.lit(False).alias("home"),
-        F.explode(F.sequence(F.lit(0), F.col("batches") - 1)).alias("batch"))
-    work = indexed.withColumn("kind", F.lit(0)).unionByName(asked.drop("batches").withColumn("kind", F.lit(1)))
-    found = work.groupBy("shard", "batch").applyInPandas(_search(window), "uid long, place long")
+    dealt = work.join(load, "shard").withColumn("batch", F.explode(
+        F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.col("batches") - 1)).otherwise(
+            F.array(F.pmod(F.xxhash64("uid", "start"), F.col("batches")).cast("int")))))
+    found = dealt.drop("batches").groupBy("shard", "batch").applyInArrow(_search(window), "uid long, place long")
     found = scratch.save(found.distinct(), "found")
+    scratch.drop("work")
     places = found.groupBy("uid").agg(F.collect_list("place").alias("places"))
-    out = rows.join(places, "uid", "left").select("uid", "text", "places").mapInPandas(
-        _kept(window), "uid long, n_words long, n_removed long, kept_sha256 string")
-    return rows.select("uid", "doc_id").join(out, "uid").select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return rows.join(places, "uid", "left").select("doc_id", "text", "places").mapInArrow(
+        _kept(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
