@@ -288,7 +288,8 @@ def _merge(places: np.ndarray, window: int, size: int, count: int) -> list[tuple
     return [tuple(r) for r in out]
 
 
-WORK = "uid long, shard int, kind int, home boolean, start long, words array<string>"
+#: `words` joined by a space, which no word holds: an array takes some 30 bytes a word in a shuffle.
+WORK = "uid long, shard int, kind int, home boolean, start long, n int, words string"
 
 
 def _regions(window: int, size: int):
@@ -300,8 +301,8 @@ def _regions(window: int, size: int):
                 for shard in np.unique(shards):
                     kind = 0 if shard == INDEXED else 1
                     for start, stop in _merge(places[shards == shard], window, size, len(listed)):
-                        rows.append((uid, home if kind == 0 else shard, kind, kind == 1 and shard == home, start, listed[start:stop]))
-                yield pd.DataFrame(rows, columns=["uid", "shard", "kind", "home", "start", "words"])
+                        rows.append((uid, home if kind == 0 else shard, kind, kind == 1 and shard == home, start, stop - start, " ".join(listed[start:stop])))
+                yield pd.DataFrame(rows, columns=["uid", "shard", "kind", "home", "start", "n", "words"])
     return run
 
 
@@ -309,7 +310,7 @@ def _search(window: int):
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         kind = group["kind"].to_numpy()
-        listed = group["words"].combine_chunks()
+        listed = pc.split_pattern(group["words"].combine_chunks(), " ")
         index = ShardIndex(listed.filter(pa.array(kind == 0)), window)
         asked = group.filter(pa.array(kind == 1))
         words = listed.filter(pa.array(kind == 1))
@@ -388,9 +389,10 @@ def substring_dedup(docs: DataFrame, scratch: Scratch, window: int = 35, size: i
     work = rows.join(starts, "uid").select("uid", "text", "home", "shards", "places").mapInPandas(_regions(window, size), WORK)
     work = scratch.save(work, "work")
     scratch.drop("candidates")
-    load = work.filter("kind = 1").groupBy("shard").agg(F.sum(F.size("words")).alias("n"))
+    load = work.filter("kind = 1").groupBy("shard").agg(F.sum("n").alias("n"))
     load = load.select("shard", F.greatest(F.lit(1), F.ceil(F.col("n") / batch_words)).cast("int").alias("batches"))
-    dealt = work.join(load, "shard").withColumn("batch", F.explode(
+    # one row a shard; a join by shard would shuffle the words once more
+    dealt = work.join(F.broadcast(load), "shard").withColumn("batch", F.explode(
         F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.col("batches") - 1)).otherwise(
             F.array(F.pmod(F.xxhash64("uid", "start"), F.col("batches")).cast("int")))))
     found = dealt.drop("batches").groupBy("shard", "batch").applyInArrow(_search(window), "uid long, place long")

@@ -45,6 +45,29 @@ def test_suffix_array_and_counts_match_plain_sorting():
             assert count[i] == n and (matched[i] == size) == (n > 0)
 
 
+def test_covering_hits_cover_what_all_hits_cover():
+    rng = random.Random(1)
+    for window in (2, 3, 5, 8):
+        base = [rng.choice("abcdef") for _ in range(40)]
+        regions = [base[i:i + 15] + [rng.choice("xyz")] + base[j:j + 20] for i, j in ((0, 5), (3, 9), (20, 1))]
+        index = ShardIndex(regions, window)
+        for probe, need in ((regions[0], 2), (["q", *base, "x"], 1)):
+            ids = index.ids(probe)
+            count = index.occurrences(ids, window)[1]
+            last = len(probe) - window
+            got = index.covering(ids, np.array([0]), np.array([last]), np.array([need]), window).tolist()
+            wanted = np.flatnonzero(count >= need).tolist()
+            assert set(got) <= set(wanted)
+            assert {x + k for x in got for k in range(window)} == {x + k for x in wanted for k in range(window)}
+
+
+def test_a_long_copy_takes_one_search_a_window_length():
+    words = [f"w{i}" for i in range(3500)]
+    index, window = ShardIndex([words, words], 35), 35
+    hits = index.covering(index.ids(words), np.array([0]), np.array([3500 - window]), np.array([2]), window)
+    assert len(hits) <= 3500 // window + 1
+
+
 @pytest.mark.parametrize("window,size,shard_words,batch_words", [(4, 2, 40, 30), (4, 4, 40, 30), (35, 10, 100_000, 100_000), (35, 10, 300, 200), (35, 1, 300, 200)])
 def test_query_equals_plain_count(spark, frame, odd_rows, window, size, shard_words, batch_words):
     rows = odd_rows + [(200, "x " * 34 + "y"), (201, "x " * 36), (202, "é ü " * 40)]
