@@ -159,13 +159,13 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, penalty: Penalty | None
     usable = docs.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
     counted = usable.select("text").mapInArrow(_frequencies, "place long, n long").groupBy("place").agg(
         F.sum("n").alias("n")
-    ).collect()  # one row for each column of the model
-    known = {row.place: row.n for row in counted}
-    texts = known.pop(-1, 0)
-    if not known:
+    ).toArrow()  # one row for each column of the model, as arrays: Row objects take many times the memory
+    place, n = (counted.column(c).to_numpy() for c in ("place", "n"))
+    texts = int(n[place == -1].sum())
+    if not (place >= 0).any():
         return None
     frequency = np.zeros(1 << COLUMN_BITS)
-    frequency[list(known)] = list(known.values())
+    frequency[place[place >= 0]] = n[place >= 0]
     idf = np.log((1 + texts) / (1 + frequency)) + 1
 
     turn = F.xxhash64("doc_id", F.lit("language"))
