@@ -1,20 +1,21 @@
 """Substring dedup: remove the words of every 35-word window that occurs twice or more.
 
 Method: a compressed FM-index per shard. First a pruning: runs of `size` words are
-fingerprinted (64-bit, in numpy) and winnowed, one chosen per window; the windows around
-chosen runs whose fingerprint occurs twice or more form each document's candidate
-regions (a repeated window always holds such a run, see `minimisers`). Documents are dealt into
-shards of about `shard_words` candidate words; per shard, the regions are indexed by
-the Burrows-Wheeler transform of their word ids, held in a wavelet matrix of packed bit
-planes with rank samples. Every document is streamed, region by region, to each shard
-that holds one of its candidate fingerprints; backward search over the wavelet matrix
-finds windows with enough occurrences (two in the document's own shard, one elsewhere)
-that cover every word such windows cover: a search that fails rules out all windows
-that hold the failed words, and windows between two hits that touch are not asked.
-Fingerprints only route and prune; the decision is the exact search on word strings.
-
-Streamed regions are cut into batches of about `batch_words` per task, each with its own
-copy of the shard's index, so one shard hit by many documents still spreads out.
+fingerprinted (64-bit, in numpy) and winnowed, one chosen per window; the consecutive windows
+that choose one run make a region, so every window is in one region only. Regions whose run's
+fingerprint occurs twice or more are kept (a repeated window always holds such a run, see
+`minimisers`). Equal windows choose the same run, so regions are dealt into shards of about
+`shard_words` words by fingerprint: all that a region must be compared with is in its own
+shard, and no region goes to two. Regions of equal bytes make a class (128-bit digest), of
+which one text goes on, marked if it stands for several. Per shard, the classes' words are
+indexed by the Burrows-Wheeler transform of their word ids, held in a wavelet matrix of packed
+bit planes with rank samples; backward search over it finds the windows that occur twice (once,
+in a class that stands for several regions): a search that fails rules out all windows that
+hold the failed words, and windows between two hits that touch are not asked. Fingerprints
+only route and prune; the decision is the exact search on word strings.
+
+A fingerprint whose classes alone would fill much of a shard (a short phrase in many different
+contexts) is split further: its windows become regions of their own, dealt by all their words.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -36,10 +36,8 @@ from stratacast.llm.words import hash_words, mix, text_slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _BASE = 0x9E3779B97F4A7C15
-#: Starts of windows that one row of a search stands for.
-PIECE = 256
-#: In place of a shard: the run is indexed in its own one.
-INDEXED = -1
+#: A fingerprint with more than this part of a shard's words is split by whole windows.
+HOT = 4
 
 
 def words_of(text: str | None) -> list[str]:
@@ -47,17 +45,19 @@ def words_of(text: str | None) -> list[str]:
 
 
 def minimisers(hashes: np.ndarray, owner: np.ndarray, window: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(texts, places, fingerprints) of the `size`-word runs chosen by winnowing.
-
-    `hashes` are those of the words of many texts, in order, `owner` their texts. In every
-    stretch of window - size + 1 consecutive runs (the runs of one `window`-word window)
-    the smallest fingerprint, leftmost on ties, is chosen. A window that occurs twice has
-    the same runs in both places, so both choose the same run: every repeated window holds
-    a chosen run whose fingerprint occurs twice or more.
+    """(first windows, last windows, fingerprints) of the `size`-word runs chosen by winnowing.
+
+    `hashes` are those of the words of many texts, in order, `owner` their texts; a window
+    goes by the place of its first word in `hashes`. In every stretch of window - size + 1
+    consecutive runs (the runs of one `window`-word window) the smallest fingerprint, leftmost
+    on ties, is chosen; windows in a row that choose one run are listed together. A window
+    that occurs twice has the same runs in both places, so both choose the same run: every
+    repeated window's chosen run has a fingerprint that is chosen twice or more.
     """
     count, span = len(hashes) - size + 1, window - size + 1
+    none = np.zeros(0, np.int64)
     if count < span:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return none, none, np.zeros(0, np.uint64)
     runs = np.zeros(count, np.uint64)
     for at in range(size):
         runs = runs * np.uint64(_BASE) + hashes[at:count + at]
@@ -69,11 +69,12 @@ def minimisers(hashes: np.ndarray, owner: np.ndarray, window: int, size: int) ->
         left, right = low[:-step], low[step:]
         place = np.where(right < left, place[step:], place[:-step])
         low, width = np.minimum(left, right), width + step
-    inside = owner[:count - span + 1] == owner[window - 1:]
-    chosen = place[inside]
-    chosen = chosen[np.concatenate(([True], chosen[1:] != chosen[:-1]))] if len(chosen) else chosen
-    texts = owner[chosen]
-    return texts, chosen - np.searchsorted(owner, texts), runs[chosen]
+    starts = np.flatnonzero(owner[:count - span + 1] == owner[window - 1:])
+    if not len(starts):
+        return none, none, np.zeros(0, np.uint64)
+    chosen = place[starts]
+    new = np.flatnonzero(np.concatenate(([True], (chosen[1:] != chosen[:-1]) | (owner[starts[1:]] != owner[starts[:-1]]))))
+    return starts[new], starts[np.append(new[1:], len(starts)) - 1], runs[chosen[new]]
 
 
 # -- the index -------------------------------------------------------------------------
@@ -172,6 +173,7 @@ class ShardIndex:
         text[-1] = 0
         order = suffix_array(text, None if window is None else window + 1)
         self.size = len(text)
+        self.text = text
         self.wavelet = WaveletMatrix(text[order - 1])
         counts = np.bincount(text, minlength=len(self.vocabulary) + 2)
         self.before = np.concatenate(([0], np.cumsum(counts)))
@@ -263,86 +265,109 @@ class ShardIndex:
 # -- Spark steps -----------------------------------------------------------------------
 
 
-def _window_rows(window: int, size: int):
+REGIONS = "key long, digest binary, uid long, first int, span int"
+
+
+def _regions(window: int, size: int):
+    """Regions: windows `first` .. `first` + `span` of a text, which choose one run."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uids = batch.column(0).to_numpy(zero_copy_only=False)
-            for start, _, data, offsets in text_slices(batch.column(1)):
-                hashes, _, _, owner = hash_words(data, offsets)
-                texts, places, found = minimisers(hashes, owner, window, size)
+            for row, _, data, offsets in text_slices(batch.column(1)):
+                hashes, starts, ends, owner = hash_words(data, offsets)
+                first, last, found = minimisers(hashes, owner, window, size)
+                held = memoryview(data)
+                digests = [hashlib.blake2b(held[a:b], digest_size=16).digest()
+                           for a, b in zip(starts[first].tolist(), ends[last + window - 1].tolist())]
+                texts = owner[first]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found.view(np.int64)), pa.array(uids[start + texts]), pa.array(places.astype(np.int64))],
-                    ["fp", "uid", "place"])
+                    [pa.array(found.view(np.int64)), pa.array(digests, pa.binary()), pa.array(uids[row + texts]),
+                     pa.array((first - np.searchsorted(owner, texts)).astype(np.int32)), pa.array((last - first).astype(np.int32))],
+                    ["key", "digest", "uid", "first", "span"])
     return run
 
 
-def _merge(places: np.ndarray, window: int, size: int, count: int) -> list[tuple[int, int]]:
-    """Word ranges of all windows that hold a chosen run starting at one of `places`."""
-    out = []
-    for p in np.sort(places):
-        start, stop = max(int(p) + size - window, 0), min(int(p) + window, count)
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], stop)
-        else:
-            out.append([start, stop])
-    return [tuple(r) for r in out]
+def _single_windows(window: int):
+    """The windows of the regions listed in `at` as regions of their own, by a hash of their words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uid, text, at in zip(*(batch[c].to_pylist() for c in ("uid", "text", "at"))):
+                listed = words_of(text)
+                places = [place for r in at for place in range(r["first"], r["first"] + r["span"] + 1)]
+                digests = [hashlib.blake2b(" ".join(listed[p:p + window]).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                           for p in places]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.frombuffer(b"".join(digests), np.int64)[::2]), pa.array(digests, pa.binary()),
+                     pa.array([uid] * len(places), pa.int64()), pa.array(places, pa.int32()), pa.array([0] * len(places), pa.int32())],
+                    ["key", "digest", "uid", "first", "span"])
+    return run
 
 
 #: `words` joined by a space, which no word holds: an array takes some 30 bytes a word in a shuffle.
-WORK = "uid long, shard int, kind int, home boolean, start long, n int, words string"
+WORK = "key long, digest binary, twice boolean, words string"
+#: Words after which a batch of regions is sent on.
+SENT_WORDS = 500_000
 
 
-def _regions(window: int, size: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _region_words(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uid, text, home, shards, places in zip(*(batch[c] for c in ("uid", "text", "home", "shards", "places"))):
-                listed, rows = words_of(text), []
-                shards, places = np.asarray(shards, np.int64), np.asarray(places, np.int64)
-                for shard in np.unique(shards):
-                    kind = 0 if shard == INDEXED else 1
-                    for start, stop in _merge(places[shards == shard], window, size, len(listed)):
-                        rows.append((uid, home if kind == 0 else shard, kind, kind == 1 and shard == home, start, stop - start, " ".join(listed[start:stop])))
-                yield pd.DataFrame(rows, columns=["uid", "shard", "kind", "home", "start", "n", "words"])
+            at = batch["at"]
+            ends = np.cumsum(pc.list_value_length(at).to_numpy(zero_copy_only=False)).tolist()
+            regions = at.flatten()
+            firsts, spans = (regions.field(c).to_numpy(zero_copy_only=False).tolist() for c in ("first", "span"))
+            joined, begin, held = [], 0, 0
+            for text, end in zip(batch["text"], ends):
+                listed = words_of(text.as_py())
+                for r in range(begin + len(joined), end):
+                    joined.append(" ".join(listed[firsts[r]:firsts[r] + spans[r] + window]))
+                    held += spans[r] + window
+                if held >= SENT_WORDS or end == ends[-1]:
+                    part = regions.slice(begin, len(joined))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.field("key"), part.field("digest"), part.field("twice"), pa.array(joined, pa.string())],
+                        ["key", "digest", "twice", "words"])
+                    joined, begin, held = [], end, 0
     return run
 
 
-def _search(window: int):
+def _search(window: int, batch_words: int):
+    """Per class with a repeated window: the words that such windows cover, from the region's first.
+
+    They are one stretch: a region's windows all hold the run that they chose.
+    """
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        kind = group["kind"].to_numpy()
-        listed = pc.split_pattern(group["words"].combine_chunks(), " ")
-        index = ShardIndex(listed.filter(pa.array(kind == 0)), window)
-        asked = group.filter(pa.array(kind == 1))
-        words = listed.filter(pa.array(kind == 1))
+        words = pc.split_pattern(group["words"].combine_chunks(), " ")
+        index = ShardIndex(words, window)
         lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-        ids = index.ids(words.flatten())
-        offsets = np.cumsum(lengths) - lengths
-        # regions in pieces, which are searched side by side
-        pieces = np.maximum(lengths - window + PIECE, 0) // PIECE
-        region = np.repeat(np.arange(len(lengths)), pieces)
-        number = np.arange(len(region)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        first = offsets[region] + number * PIECE
-        last = np.minimum(first + PIECE - 1, offsets[region] + lengths[region] - window)
-        need = np.where(asked["home"].to_numpy(), 2, 1).astype(np.int64)[region]
-        hits = index.covering(ids, first, last, need, window)
-        at = np.searchsorted(offsets, hits, side="right") - 1
-        place = hits - offsets[at] + asked["start"].to_numpy()[at]
-        return pa.table({"uid": asked["uid"].to_numpy()[at], "place": place})
+        first = np.cumsum(lengths + 1) - lengths - 1
+        last = first + lengths - window
+        # a region that stands for several is itself a second occurrence
+        need = np.where(group["twice"].to_numpy(), 1, 2).astype(np.int64)
+        batch = first // max(batch_words, window)
+        edges = np.append(np.flatnonzero(np.diff(batch, prepend=-1)), len(first))
+        hits = np.concatenate([np.zeros(0, np.int64)] + [
+            index.covering(index.text, first[a:b], last[a:b], need[a:b], window) for a, b in zip(edges[:-1], edges[1:])])
+        low, high = np.searchsorted(hits, first), np.searchsorted(hits, last, side="right")
+        found = np.flatnonzero(low < high)
+        listed = group.select(["key", "digest"]).take(pa.array(found))
+        return listed.append_column("start", pa.array((hits[low[found]] - first[found]).astype(np.int32))).append_column(
+            "stop", pa.array((hits[high[found] - 1] - first[found] + window).astype(np.int32)))
     return run
 
 
-def _kept(window: int):
+def _kept():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept_sha256 = [], [], []
-            for text, places in zip(batch["text"].to_pylist(), batch["places"]):
+            for text, gone in zip(batch["text"].to_pylist(), batch["gone"]):
                 listed = words_of(text)
                 kept = listed
-                if places.is_valid:
+                if gone.is_valid:
                     cover = np.zeros(len(listed) + 1, np.int64)
-                    p = places.values.to_numpy()
-                    np.add.at(cover, p, 1)
-                    np.add.at(cover, p + window, -1)
+                    np.add.at(cover, gone.values.field("start").to_numpy(), 1)
+                    np.add.at(cover, gone.values.field("stop").to_numpy(), -1)
                     kept = [w for w, depth in zip(listed, np.cumsum(cover).tolist()) if not depth]
                 n_words.append(len(listed))
                 n_removed.append(len(listed) - len(kept))
@@ -353,6 +378,46 @@ def _kept(window: int):
     return run
 
 
+def _shared(regions: DataFrame) -> DataFrame:
+    twice = regions.groupBy("key").agg(F.count("*").alias("n")).filter("n >= 2").select("key")
+    return regions.join(twice, "key", "left_semi")
+
+
+def _classes(regions: DataFrame) -> DataFrame:
+    """One row per class of equal regions: a place of it, and whether there are several."""
+    return regions.groupBy("key", "digest").agg(
+        F.min("uid").alias("uid"), F.min_by("first", "uid").alias("first"), F.max("span").alias("span"),
+        (F.count("*") >= 2).alias("twice"))
+
+
+def _listed(regions: DataFrame, *columns: str) -> DataFrame:
+    return regions.groupBy("uid").agg(F.collect_list(F.struct(*columns)).alias("at"))
+
+
+def candidate_regions(rows: DataFrame, scratch: Scratch, window: int, size: int, most_words: int) -> tuple[DataFrame, DataFrame, int]:
+    """(regions that may hold a repeated window, their classes, words in the classes) of `rows` (uid, text).
+
+    All regions of equal windows have the same key. The classes of a key hold `most_words`
+    words at most: windows of larger ones are regions of their own, with a key by all their words.
+    """
+    rows = rows.select("uid", "text")
+    regions = scratch.save(rows.mapInArrow(_regions(window, size), REGIONS), "regions")
+    regions = scratch.save(_shared(regions), "candidates")
+    scratch.drop("regions")
+    classes = scratch.save(_classes(regions), "classes")
+    keys = classes.groupBy("key").agg(F.sum(F.col("span") + window).alias("words"))
+    if (keys.agg(F.max("words")).first()[0] or 0) > most_words:
+        hot = scratch.save(keys.filter(F.col("words") > most_words).select("key"), "hot")
+        asked = _listed(regions.join(hot, "key", "left_semi"), "first", "span")
+        single = scratch.save(rows.join(asked, "uid").mapInArrow(_single_windows(window), REGIONS), "single")
+        single = scratch.save(_shared(single), "single-shared")
+        scratch.drop("single")
+        regions = regions.join(hot, "key", "left_anti").unionByName(single)
+        classes = scratch.save(classes.join(hot, "key", "left_anti").unionByName(_classes(single)), "classes-split")
+    words = classes.agg(F.sum(F.col("span") + window)).first()[0]
+    return regions, classes, words or 0
+
+
 def substring_dedup(docs: DataFrame, scratch: Scratch, window: int = 35, size: int = 10, shard_words: int = 2_000_000,
                     batch_words: int = 2_000_000) -> DataFrame:
     """Words of `docs` (doc_id, text) covered by a repeated `window`-word window.
@@ -363,41 +428,23 @@ def substring_dedup(docs: DataFrame, scratch: Scratch, window: int = 35, size: i
     form feed and carriage return, taken unchanged. A window counts when its word
     sequence also starts at any other place, in the same document or another; every word
     it covers is removed. Rows that repeat are separate documents (so their windows
-    repeat). Null or empty text: no words. Other columns are ignored. Returns per row:
+    repeat). Null or empty text: no words. Other columns are ignored. An index holds about
+    `shard_words` words; `batch_words` of them are searched side by side. Returns per row:
     doc_id, n_words, n_removed, kept_sha256 (sha256 of the kept words joined by one space).
     """
     # ids by place in the input, the same each time the table is read; the text is not copied
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
                        ).withColumn("uid", F.monotonically_increasing_id())
-    windows = scratch.save(rows.select("uid", "text").mapInArrow(_window_rows(window, size), "fp long, uid long, place long"),
-                           "windows")
-    shared = windows.groupBy("fp").agg(F.count("*").alias("n")).filter("n >= 2").select("fp")
-    candidates = scratch.save(windows.join(shared, "fp", "left_semi"), "candidates")
-    scratch.drop("windows")
-    # shards of about `shard_words` words (a chosen run stands for half a stretch of runs); a batch
-    # of asked words is never smaller than a shard, so the copies of an index stay below those asked of it
-    shards = max(1, math.ceil(candidates.count() * (window - size + 2) / 2 / shard_words))
-    batch_words = max(batch_words, shard_words)
-    home = F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int")
-    placed = candidates.withColumn("home", home)
-    # a run is asked of the shards that hold it again; the whole document need not go there
-    reach = placed.groupBy("fp", F.col("home").alias("shard")).agg(F.count("*").alias("n"))
-    asked = placed.join(reach, "fp").filter("shard <> home or n >= 2").select("uid", "place", "shard")
-    starts = asked.unionByName(placed.select("uid", "place", F.lit(INDEXED).alias("shard"))).groupBy("uid").agg(
-        F.collect_list(F.struct("shard", F.col("place").cast("int").alias("place"))).alias("at"))
-    starts = starts.select("uid", home.alias("home"), F.col("at.shard").alias("shards"), F.col("at.place").alias("places"))
-    work = rows.join(starts, "uid").select("uid", "text", "home", "shards", "places").mapInPandas(_regions(window, size), WORK)
-    work = scratch.save(work, "work")
-    scratch.drop("candidates")
-    load = work.filter("kind = 1").groupBy("shard").agg(F.sum("n").alias("n"))
-    load = load.select("shard", F.greatest(F.lit(1), F.ceil(F.col("n") / batch_words)).cast("int").alias("batches"))
-    # one row a shard; a join by shard would shuffle the words once more
-    dealt = work.join(F.broadcast(load), "shard").withColumn("batch", F.explode(
-        F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.col("batches") - 1)).otherwise(
-            F.array(F.pmod(F.xxhash64("uid", "start"), F.col("batches")).cast("int")))))
-    found = dealt.drop("batches").groupBy("shard", "batch").applyInArrow(_search(window), "uid long, place long")
-    found = scratch.save(found.distinct(), "found")
-    scratch.drop("work")
-    places = found.groupBy("uid").agg(F.collect_list("place").alias("places"))
-    return rows.join(places, "uid", "left").select("doc_id", "text", "places").mapInArrow(
-        _kept(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    regions, classes, words = candidate_regions(rows, scratch, window, size, max(shard_words // HOT, window))
+    shards = max(1, math.ceil(words / shard_words))
+    work = rows.join(_listed(classes, "key", "digest", "twice", "first", "span"), "uid").select("text", "at").mapInArrow(
+        _region_words(window), WORK)
+    found = work.groupBy(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")).applyInArrow(
+        _search(window, batch_words), "key long, digest binary, start int, stop int")
+    found = scratch.save(found, "found")
+    gone = scratch.save(regions.join(found, ["key", "digest"]).select(
+        "uid", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("stop")).alias("stop")), "gone")
+    scratch.drop(*(name for name in scratch.paths if name != "gone"))
+    listed = gone.groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
+    return rows.join(listed, "uid", "left").select("doc_id", "text", "gone").mapInArrow(
+        _kept(), "doc_id long, n_words long, n_removed long, kept_sha256 string")

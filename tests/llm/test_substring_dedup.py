@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from stratacast.llm.common import Scratch
-from stratacast.llm.substring_dedup import ShardIndex, substring_dedup, suffix_array
+from stratacast.llm.substring_dedup import ShardIndex, candidate_regions, minimisers, substring_dedup, suffix_array
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -78,3 +78,39 @@ def test_query_equals_plain_count(spark, frame, odd_rows, window, size, shard_wo
 
 def test_empty_table(spark, frame):
     assert substring_dedup(frame([]), Scratch(spark, "test")).count() == 0
+
+
+def test_copies_are_searched_once(spark, frame):
+    """Regions of equal text make one class, however many documents and shards hold them."""
+    words = " ".join(f"w{i}" for i in range(400))
+    made = []
+    for copies in (2, 40):
+        rows = frame([(i, words) for i in range(copies)]).selectExpr("monotonically_increasing_id() AS uid", "text")
+        regions, classes, n = candidate_regions(rows, Scratch(spark, "test"), 35, 10, 1_000_000)
+        assert regions.count() == copies * classes.count()
+        assert classes.filter("not twice").count() == 0
+        made.append((classes.count(), n))
+    assert made[0] == made[1]
+
+
+def test_every_window_is_in_one_region():
+    rng = random.Random(4)
+    owner = np.repeat(np.arange(4), (50, 3, 36, 80))
+    hashes = np.array([rng.getrandbits(64) for _ in range(5)], np.uint64)[[rng.randrange(5) for _ in owner]]
+    first, last, _ = minimisers(hashes, owner, 35, 10)
+    windows = [w for a, b in zip(first, last) for w in range(a, b + 1)]
+    assert windows == [w for w in range(len(owner) - 34) if owner[w] == owner[w + 34]]
+
+
+def test_phrase_in_many_contexts_is_split(spark, frame):
+    """The regions of a common phrase do not fill one shard; what repeats among them is still found."""
+    rng = random.Random(6)
+    phrase = [f"p{i}" for i in range(20)]
+    rows = [(i, " ".join([*(f"a{rng.randrange(10**6)}" for _ in range(30)), *phrase, *(f"b{rng.randrange(10**6)}" for _ in range(30))]))
+            for i in range(60)]
+    rows += [(100, rows[7][1].replace(" ", "\n")), (101, "start " + rows[9][1])]
+    table = frame(rows).selectExpr("monotonically_increasing_id() AS uid", "text")
+    _, classes, _ = candidate_regions(table, Scratch(spark, "test"), 35, 10, 500)
+    assert classes.groupBy("key").agg({"span": "sum", "*": "count"}).selectExpr("max(`sum(span)` + 35 * `count(1)`)").first()[0] <= 500
+    got = substring_dedup(frame(rows), Scratch(spark, "test"), shard_words=2000).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(rows, 35)
