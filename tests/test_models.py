@@ -420,3 +420,24 @@ def test_full_run_counts(spark, raw_bars, tmp_path):
 def test_assembled_matrix_rejects_missing_values(panel):
     with pytest.raises(Exception):
         lags.feature_matrix(lags.add_lag_features(panel), ["lag1"]).collect()
+
+
+def test_training_matrix_has_partitions_by_its_rows(spark, panel, monkeypatch):
+    """A session with many shuffle partitions does not make a small fit pass over as many tasks."""
+    seen = []
+
+    class Estimator:
+        def fit(self, matrix):
+            seen.append((matrix.rdd.getNumPartitions(), matrix.count()))
+
+    monkeypatch.setattr(fitting, "build", lambda *a: Estimator())
+    spark.conf.set("spark.sql.shuffle.partitions", "96")
+    try:
+        fitting.fit(panel, ["gb"], PAIR)
+        assert fitting._sized(panel).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+        monkeypatch.setattr(fitting, "TASK_ROWS", 1)
+        assert fitting._sized(panel) is panel
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert seen[0][1] == training_matrix(panel, PAIR).count()
+    assert seen[0][0] <= 2 * spark.sparkContext.defaultParallelism
