@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,13 +92,13 @@ def _rows(idf: np.ndarray):
             kept, places, values = [], [], []
             for row, present, counts in text_counts(batch.column("text")):
                 kept.append(row)
-                places.append(present.astype(np.int32))
+                places.append(present.astype(np.int16))
                 values.append(_weigh(present, counts, idf).astype(np.float32))
             if kept:
                 taken = pa.array(kept)
                 yield pa.record_batch([
                     batch.column("lang").take(taken), batch.column("turn").take(taken),
-                    pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32())),
+                    pa.array(places, pa.list_(pa.int16())), pa.array(values, pa.list_(pa.float32())),
                 ], names=["lang", "turn", "places", "values"])
 
     return run
@@ -120,6 +121,7 @@ def fit_ftrl(rows: list, n_classes: int, penalty: Penalty) -> np.ndarray:
 
     for _ in range(p.epochs):
         for label, places, values in rows:
+            values = values.astype(float)
             held, seen = z[:, places], squares[:, places]
             now = weights(held, seen)
             wrong = softmax(now @ values)
@@ -146,6 +148,13 @@ def fit_temperature(scores: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
+def _lists(column: pa.ChunkedArray):
+    """The elements of a column of lists, as arrays that share its memory."""
+    for chunk in column.chunks:
+        flat, edges = chunk.values, chunk.offsets.to_pylist()
+        yield from (flat.slice(a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True))
+
+
 @dataclass
 class Model:
     classes: list[str]
@@ -172,16 +181,19 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, penalty: Penalty | None
     last = usable.select(turn.alias("turn")).orderBy("turn").limit(sample_rows).agg(F.max("turn")).first()[0]
     sample = usable.withColumn("turn", turn).filter(F.col("turn") <= last).limit(2 * sample_rows)
     rows = sample.mapInArrow(
-        _rows(idf.astype(np.float32)), "lang string, turn long, places array<int>, values array<float>"
-    ).toArrow().sort_by([("turn", "ascending"), ("lang", "ascending")])
-    classes = sorted(set(rows.column("lang").to_pylist()))
+        _rows(idf.astype(np.float32)), "lang string, turn long, places array<smallint>, values array<float>"
+    ).toArrow()
+    order = pc.sort_indices(rows.select(["turn", "lang"]), [("turn", "ascending"), ("lang", "ascending")]).to_pylist()
+    langs = rows.column("lang").to_pylist()
+    classes = sorted(set(langs))
     label = {name: at for at, name in enumerate(classes)}
-    known = [(label[lang], places.values.to_numpy(), values.values.to_numpy().astype(float)) for lang, places, values in zip(
-        rows.column("lang").to_pylist(), rows.column("places"), rows.column("values"), strict=True)]
+    # the rows stay where they came in: views, in the order to learn in
+    places, values = ([part.to_numpy() for part in _lists(rows.column(c))] for c in ("places", "values"))
+    known = [(label[langs[at]], places[at], values[at]) for at in order]
     for_fit = [row for at, row in enumerate(known) if at % 5]
     for_calibration = known[::5]
     weights = fit_ftrl(for_fit or known, len(classes), penalty or Penalty())
-    scores = np.array([weights[:, places] @ values for _, places, values in for_calibration])
+    scores = np.array([weights[:, places] @ values.astype(float) for _, places, values in for_calibration])
     temperature = fit_temperature(scores, np.array([row[0] for row in for_calibration]))
     return Model(classes, weights.astype(np.float32), idf.astype(np.float32), temperature)
 

@@ -310,11 +310,12 @@ def near_duplicates(
     links = scratch.save(
         _confirmed(stars.selectExpr("class_id AS x", "hub AS y"), store, percent), "links-hubs"
     )
+    labels = components(links, scratch)
     for name, grown_only, best in (("links-grown", True, BEST), ("links-rest", False, None)):
-        labels = components(links, scratch)
         pairs = _searched(_cells(store, labels, halves, grown_only), percent, halves, best)
-        links = links.union(scratch.save(_confirmed(pairs, store, percent), name))
-    labels = components(links, scratch)
+        links = scratch.save(_confirmed(pairs, store, percent), name)
+        # the components so far stand for their links
+        labels = components(labels.selectExpr("node AS x", "label AS y").union(links), scratch)
     scratch.drop("classes", "seen", "store", "links-hubs", "links-grown", "links-rest")
 
     placed = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select(

@@ -239,3 +239,21 @@ def test_redaction_replaces_spans_only(frame, odd_rows):
 @pytest.mark.parametrize("operator", [near_duplicates, repeated_passages, scan_secrets, redacted, deduplicated])
 def test_empty_tables(frame, operator):
     assert operator(frame([])).count() == 0
+
+
+def test_stars_take_no_step(spark):
+    """Labels of an earlier call, given again as edges, are recognised without a round of steps."""
+    saved = []
+
+    class Counted(Scratch):
+        def save(self, frame, name):
+            saved.append(name)
+            return super().save(frame, name)
+
+    edges = spark.createDataFrame([(5, 1), (9, 1), (7, 3), (3, 3), (1, 1)], "x long, y long")
+    got = {r.node: r.label for r in components(edges, Counted(spark, "test")).collect()}
+    assert got == {5: 1, 9: 1, 1: 1, 7: 3, 3: 3}
+    assert len(saved) == 1
+    chain = edges.union(spark.createDataFrame([(7, 5)], "x long, y long"))
+    got = {r.node: r.label for r in components(chain, Counted(spark, "test")).collect()}
+    assert set(got.values()) == {1} and len(got) == 5
