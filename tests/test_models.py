@@ -5,6 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml.linalg import DenseVector, VectorUDT
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +20,7 @@ from stratacast.plans.gram import moments
 from stratacast.plans.models import FACTORIES, build, label_stats, models_of
 from stratacast.plans.scorers import LinearScorer, first_trees, portable
 from stratacast.plans.training import training_frame
-from stratacast.schemas import TECHNICAL_COLUMNS, LagSpec, Settings
+from stratacast.schemas import CALENDAR_COLUMNS, MODEL_STATICS, TECHNICAL_COLUMNS, LagSpec, Settings
 from stratacast.streaming.updates import merge_observations, refresh_state
 
 SMALL = {"rf": {"numTrees": 4, "maxDepth": 4}, "gb": {"maxIter": 3, "maxDepth": 3}, "lgbm": {"maxDepth": 2}}
@@ -371,6 +372,38 @@ def test_boosting_rounds(panel):
     assert ranking.count() == 2 and ahead.count() == 3 * 5
 
 
+def test_every_round_count_is_scored(panel):
+    """Each count up to the last is ranked, with the error of a cross-validation by that many rounds."""
+    ranking, _ = crossval.select_boosting_rounds(panel, overrides={"maxDepth": 1})
+    found = {r["rounds"]: r["mape"] for r in ranking.collect()}
+    assert sorted(found) == list(range(1, 26)) and list(found.values()) == sorted(found.values())
+    lean = crossval.selection_design(panel, Design())
+    for count in (1, 13):
+        cv, _ = crossval.cross_validate(
+            panel, ["lgbm"], 2, 5, 5, lean, overrides={"lgbm": {"maxDepth": 1, "maxIter": count}}
+        )
+        seen = cv.toPandas()
+        errors = ((seen["y"] - seen["lgbm"]) / seen["y"]).abs()
+        assert found[count] == pytest.approx(errors.groupby(seen["cutoff"]).mean().mean())
+
+
+def test_boosting_rounds_see_the_whole_model_frame(panel):
+    lean = crossval.selection_design(panel, Design())
+    wanted = {"dayofweek", "month", *CALENDAR_COLUMNS, *TECHNICAL_COLUMNS, *MODEL_STATICS}
+    assert sorted(lean.exogenous) == sorted(wanted) and lean.technical_shift == Design().technical_shift
+    fewer = panel.drop("volatility_5d", "week_of_year")
+    assert set(lean.exogenous) - set(crossval.selection_design(fewer, Design()).exogenous) == {"volatility_5d", "week_of_year"}
+    # a technical column that gives the next day's direction away, and its last value either way
+    following = F.lead("y").over(Window.partitionBy("unique_id").orderBy("ds"))
+    settings = {"maxDepth": 2, "featureSubsetStrategy": "all", "stepSize": 1.0}
+    last = {}
+    for ending in (-1.0, 1.0):
+        told = panel.withColumn("momentum_5d", F.when(following.isNull(), ending).otherwise(F.signum(following)))
+        _, ahead = crossval.select_boosting_rounds(told, rounds=(1,), overrides=settings)
+        last[ending] = ahead.orderBy("unique_id", "ds").toPandas()["lgbm"]
+    assert len(last[1.0]) == 3 * 5 and (last[1.0] > last[-1.0]).all()
+
+
 def test_a_short_fit_is_a_prefix_of_a_long_one(panel):
     fits = {
         n: portable(fitting.fit(panel, ["lgbm"], overrides={"lgbm": {"maxDepth": 3, "maxIter": n}})["lgbm"]) for n in (2, 4)
